@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import mixing, sharding, simhash
+from rasterloom.llm import line_dedup, mixing, quality_rules, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,27 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"), share=1.5, cap=2.0)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=line_dedup.MIN_SITES).select("doc_id", "n_removed_lines", "text")
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = quality_rules.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted(spark, sf_dir))
+    return marked.drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup.sql(),
+}
