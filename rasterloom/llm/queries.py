@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import licenses, line_dedup, mixing, packing, quality_rules, sharding, simhash
+from rasterloom.llm import licenses, line_dedup, mixing, packing, quality_rules, sharding, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), length=2048)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.self_search(table(spark, sf_dir, "embeddings"), every=50, k=10)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -60,9 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.sql(),
+    "op8_topk": topk.sql(),
 }
