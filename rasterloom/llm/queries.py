@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import licenses, line_dedup, mixing, packing, quality_rules, sharding, simhash, topk
+from rasterloom.llm import licenses, line_dedup, mixing, ordinal, packing, quality_rules, sharding, simhash, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,13 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on rows whose crc32(doc_id as text) mod 3 isn't 1."""
+    docs = table(spark, sf_dir, "documents")
+    graded = ordinal.rated(table(spark, sf_dir, "labels").where("crc32(cast(doc_id as string)) % 3 <> 1"))
+    return ordinal.score(docs, ordinal.train(docs, graded))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
+    "op10_ordinal": op10_ordinal,
 }
 
 ORACLE_SQL: dict[str, str] = {
