@@ -9,7 +9,8 @@
 3. Lexicon: for restored words and their beginnings (3 to 9 letters), in how many toxic and other labelled documents they
    are found; the lower confidence bound of the log ratio counts if it is above 0. Counts are over all labelled documents
    of the two training folds, hashed into 2^20 buckets.
-4. A document's score is a logistic regression on its largest word scores, fitted on at most `sample` labelled documents
+4. A document's score is the larger of two logistic regressions, on all its large word scores and on the largest alone
+   (so that a short text's one sure word isn't outvoted), fitted on at most `sample` labelled documents
    of the second training fold, with a lexicon of the first; documents are scored with the lexicon of both.
 
 Labels are used only from rows whose crc32(doc_id as text) mod 3 isn't 1: remainder 0 is the first fold, 2 the
@@ -38,7 +39,11 @@ ORDER = 4
 CACHE = 1 << 19
 FLUSH = 200_000
 TOP = (1, 2, 3, 5, 10)
-INPUTS = len(TOP) + 3
+KNEES = (2.0, 4.0, 6.0)
+INPUTS = len(TOP) + len(KNEES) + 3
+#: One word alone must be surer, in log odds.
+MARGIN = 3.0
+ONE_WORD = [0, *range(len(TOP), len(TOP) + len(KNEES)), INPUTS - 1]
 KINDS = ("clean0", "toxic0", "clean2", "toxic2")
 #: The letters that a sign is used for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l"}
@@ -259,7 +264,8 @@ def summary(text: str, tokens: TokenScores) -> list[float]:
         for i in range(m.start(), m.end(), 60):
             found += [tokens.of_word(w) for w in decode(low[i : min(m.end(), i + 60)], tokens.words.model).split()]
     top = sorted(found, reverse=True)[: TOP[-1]]
-    return [sum(top[:n]) / n for n in TOP] + [sum(found) / (1 + len(distinct)), math.log1p(len(distinct)) / 10, 1.0]
+    bent = [max(0.0, top[0] - k) if top else 0.0 for k in KNEES]  # one sure word can do
+    return [sum(top[:n]) / n for n in TOP] + bent + [sum(found) / (1 + len(distinct)), math.log1p(len(distinct)) / 10, 1.0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 50) -> np.ndarray:
@@ -298,18 +304,19 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(of(batch, tokens)), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    weights = np.zeros(INPUTS)
+    weights = np.zeros((2, INPUTS))
     if len(first.value[0]):
         second = learn.where(fold() == 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounds what is collected
         got = texts.join(F.broadcast(second), "doc_id").select("text", "toxic").mapInArrow(summaries, "x array<double>, toxic int").toArrow()
         y = (got["toxic"].to_numpy() == 1).astype(float)
         if 0 < y.sum() < len(y):
-            weights = logistic(np.array(got["x"].to_pylist()), y)
+            x = np.array(got["x"].to_pylist())
+            weights[0], weights[1, ONE_WORD] = logistic(x, y), logistic(x[:, ONE_WORD], y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_now(both)
         for batch in batches:
-            z = of(batch, tokens) @ weights
+            z = (of(batch, tokens) @ weights.T - np.array([0.0, MARGIN])).max(axis=1)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if weights.any() else np.zeros(len(z))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
