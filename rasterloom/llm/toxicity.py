@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,6 +55,8 @@ STRIP = ".,;:?\"'()[]{}<>#%&*|!~-_…"
 AS_IS, LOOKALIKE, REPEATED, JOINED, BROKEN = math.log(0.9), math.log(0.3), math.log(0.2), math.log(0.3), math.log(0.7)
 ALONE = re.compile(r"(?<!\w)(?:\w[ .\-_*~·]){2,}\w(?!\w)")
 RUN = re.compile(r"(.)\1\1")
+#: The same sign three times or more at an end of a token is decoration: no letter stands there so often.
+DECORATION = re.compile(r"^(\W)\1{2,}|(\W)\2{2,}$")
 
 
 def gram_bucket(gram: str) -> int:
@@ -126,7 +129,7 @@ class Restored(dict):
         return got
 
     def restore(self, token: str) -> tuple[str, ...]:
-        bare = token.strip(STRIP)
+        bare = DECORATION.sub("", token.strip(STRIP)).strip(STRIP)
         if not bare or not any(map(str.isalpha, bare)):
             return ()
         if bare.isalpha() and not RUN.search(bare):
@@ -136,6 +139,19 @@ class Restored(dict):
         return tuple(decode(bare, self.model).split())
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(run: str, name: str, make):
+    """An object of one scoring run that the tasks of a Python worker share, so that its cache outlives a task."""
+    if _kept.get("run") != run:
+        _kept.clear()
+        _kept["run"] = run
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
 def restored_words(text: str, cache: Restored) -> set[str]:
     low = text.lower()
     words = {w for t in set(low.split()) for w in cache[t]}
@@ -209,11 +225,11 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3
 
 
-def lexicon_counts(labelled: DataFrame, shared) -> dict[str, np.ndarray]:
+def lexicon_counts(labelled: DataFrame, shared, tag: str) -> dict[str, np.ndarray]:
     """Documents by bucket, fold (0 or 2) and label, from rows (text, toxic, fold); bucket 2^20 counts all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Restored(CharModel(*shared.value))
+        cache = kept(tag, "words", lambda: Restored(CharModel(*shared.value)))
         counts = np.zeros((4, WORD_BUCKETS + 1), np.int64)
         for batch in batches:
             for text, toxic, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -288,19 +304,20 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
     learn = labels.where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"]).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold() != 1)
     texts = docs.select("doc_id", "text")
     labelled = texts.join(broadcast_if_small(learn, 1_000_000), "doc_id").select("text", "toxic", fold().alias("fold"))
-    n = lexicon_counts(labelled, model)
+    tag = uuid.uuid4().hex
+    n = lexicon_counts(labelled, model, tag)
     first = context.broadcast(lexicon(n["bucket"], n["clean0"], n["toxic0"]))
     both = context.broadcast(lexicon(n["bucket"], n["clean0"] + n["clean2"], n["toxic0"] + n["toxic2"]))
 
     def of(batch: pa.RecordBatch, tokens: TokenScores) -> np.ndarray:
         return np.array([summary(t.as_py() or "", tokens) for t in batch.column(0)]).reshape(-1, INPUTS)
 
-    def tokens_now(words) -> TokenScores:
-        b, s = words.value
-        return TokenScores(Restored(CharModel(*model.value)), dict(zip(b.tolist(), s.tolist())))
+    def tokens_now(words, name: str) -> TokenScores:
+        restored = kept(tag, "words", lambda: Restored(CharModel(*model.value)))
+        return kept(tag, name, lambda: TokenScores(restored, dict(zip(*(x.tolist() for x in words.value)))))
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_now(first)
+        tokens = tokens_now(first, "first")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(of(batch, tokens)), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
@@ -314,7 +331,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
             weights[0], weights[1, ONE_WORD] = logistic(x, y), logistic(x[:, ONE_WORD], y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_now(both)
+        tokens = tokens_now(both, "both")
         for batch in batches:
             z = (of(batch, tokens) @ weights.T - np.array([0.0, MARGIN])).max(axis=1)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if weights.any() else np.zeros(len(z))
