@@ -43,7 +43,7 @@ TOP = (1, 2, 3, 5, 10)
 KNEES = (2.0, 4.0, 6.0)
 INPUTS = len(TOP) + len(KNEES) + 3
 #: One word alone must be surer, in log odds.
-MARGIN = 3.0
+MARGIN = 4.0
 ONE_WORD = [0, *range(len(TOP), len(TOP) + len(KNEES)), INPUTS - 1]
 KINDS = ("clean0", "toxic0", "clean2", "toxic2")
 #: The letters that a sign is used for.
