@@ -52,7 +52,9 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 SEPARATORS = " .-_*~·"
 STRIP = ".,;:?\"'()[]{}<>#%&*|!~-_…"
 #: Log probabilities of the channel.
-AS_IS, LOOKALIKE, REPEATED, JOINED, BROKEN = math.log(0.9), math.log(0.3), math.log(0.2), math.log(0.3), math.log(0.7)
+AS_IS, LOOKALIKE, REPEATED = math.log(0.9), math.log(0.3), math.log(0.2)
+#: Of a separator between single letters to be nothing or a word's end: other signs than spaces seldom end words there.
+GAPS = {False: (math.log(0.95), math.log(0.05)), True: (math.log(0.3), math.log(0.7))}
 ALONE = re.compile(r"(?<!\w)(?:\w[ .\-_*~·]){2,}\w(?!\w)")
 RUN = re.compile(r"(.)\1\1")
 #: The same sign three times or more at an end of a token is decoration: no letter stands there so often.
@@ -101,9 +103,10 @@ def decode(observed: str, model: CharModel, beam: int = 64) -> str:
 
         for (context, last), (p, text) in states.items():
             if c in SEPARATORS:
-                put(context, p + JOINED, text)
+                joined, broken = GAPS[c == " "]
+                put(context, p + joined, text)
                 if text and text[-1] != " ":
-                    put("^", p + BROKEN + model.log(context, "$"), text + " ")
+                    put("^", p + broken + model.log(context, "$"), text + " ")
                 continue
             for letter in LOOKS.get(c, ""):
                 put(context + letter, p + LOOKALIKE + model.log(context, letter), text + letter)
