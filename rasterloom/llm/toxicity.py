@@ -6,7 +6,7 @@
    that stand alone one after another, form a lattice: a sign may stand for each letter it resembles, a repeated
    character may be one, a separator may be a word's end or nothing. Viterbi finds the likeliest text under model and
    channel. Tokens without noise have one path and stay as they are. Decoded tokens are cached per task, up to a bound.
-3. Lexicon: for restored words and their beginnings (3 to 9 letters), in how many toxic and other labelled documents they
+3. Lexicon: for restored words and their beginnings (3 to 9 bytes), in how many toxic and other labelled documents they
    are found; the lower confidence bound of the log ratio counts if it is above 0. Counts are over all labelled documents
    of the two training folds, hashed into 2^20 buckets.
 4. A document's score is the larger of two logistic regressions, on all its large word scores and on the largest alone
@@ -26,6 +26,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ from rasterloom.plans.scale import broadcast_if_small
 GRAM_BUCKETS = 1 << 18
 WORD_BUCKETS = 1 << 20
 ORDER = 4
-CACHE = 1 << 19
-FLUSH = 200_000
+CACHE = 1 << 20
+FLUSH = 400_000
 TOP = (1, 2, 3, 5, 10)
 KNEES = (2.0, 4.0, 6.0)
 INPUTS = len(TOP) + len(KNEES) + 3
@@ -62,9 +63,26 @@ DECORATION = re.compile(r"^(\W)\1{2,}|(\W)\2{2,}$")
 
 
 def gram_bucket(gram: str) -> int:
-    import xxhash
-
-    return xxhash.xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) & (GRAM_BUCKETS - 1)
+    h = 0
+    for c in gram:
+        h = (h * 1_000_003 ^ ord(c)) & 0xFFFFFFFF
+    return (h * 2_654_435_761 & 0xFFFFFFFF) >> 14
+
+
+def gram_buckets(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Counts by bucket of the 1- to 4-grams of ^word$, each word as often as counts says, and the number of characters."""
+    length = np.array([len(w) + 2 for w in words], np.int64)
+    letters = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(length) - length, length)
+    weight = np.repeat(counts.astype(float), length)
+    total = np.zeros(GRAM_BUCKETS)
+    h = np.zeros(len(letters), np.uint64)
+    for k in range(ORDER):  # h: hashes of the k characters up to and with the one before
+        h = (h * np.uint64(1_000_003) ^ letters) & np.uint64(0xFFFFFFFF)
+        inside = place >= k
+        total += np.bincount(((h * np.uint64(2_654_435_761) & np.uint64(0xFFFFFFFF)) >> np.uint64(14))[inside].astype(np.int64), weight[inside], minlength=GRAM_BUCKETS)
+        h = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
+    return total, float((counts * (length - 1)).sum())
 
 
 class CharModel:
@@ -132,6 +150,8 @@ class Restored(dict):
         return got
 
     def restore(self, token: str) -> tuple[str, ...]:
+        if token.isalpha() and not RUN.search(token):
+            return (token,)
         bare = DECORATION.sub("", token.strip(STRIP)).strip(STRIP)
         if not bare or not any(map(str.isalpha, bare)):
             return ()
@@ -155,20 +175,33 @@ def kept(run: str, name: str, make):
     return _kept[name]
 
 
+def tokens_of(low: str) -> list[str]:
+    """Tokens of a lower-cased text; full stops and commas end them (letters between them are found by ALONE)."""
+    return low.replace(".", " ").replace(",", " ").split()
+
+
+def lonely(low: str, model: CharModel) -> list[str]:
+    """Words behind letters that stand alone one after another; long chains are decoded in parts."""
+    return [w for m in ALONE.finditer(low) for i in range(m.start(), m.end(), 60) for w in decode(low[i : min(m.end(), i + 60)], model).split()]
+
+
 def restored_words(text: str, cache: Restored) -> set[str]:
     low = text.lower()
-    words = {w for t in set(low.split()) for w in cache[t]}
-    for m in ALONE.finditer(low):
-        for i in range(m.start(), m.end(), 60):
-            words.update(decode(low[i : min(m.end(), i + 60)], cache.model).split())
+    words = {w for t in set(tokens_of(low)) for w in cache[t]}
+    words.update(lonely(low, cache.model))
     return words
 
 
 def word_features(word: str) -> list[int]:
-    import xxhash
-
-    parts = [word + "$"] + [word[:k] for k in range(3, 10) if len(word) >= k]
-    return [xxhash.xxh32_intdigest(p.encode("utf-8", "surrogatepass")) & (WORD_BUCKETS - 1) for p in parts]
+    """Buckets of the whole word and of its first 3 to 9 bytes (UTF-8)."""
+    raw = word.encode("utf-8", "surrogatepass")
+    whole = crc32(b"$", crc32(raw)) & (WORD_BUCKETS - 1)
+    h = crc32(raw[:2])
+    found = [whole]
+    for k in range(2, min(9, len(raw))):
+        h = crc32(raw[k : k + 1], h)
+        found.append(h & (WORD_BUCKETS - 1))
+    return found
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -183,7 +216,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                held.update((text.as_py() or "").lower().split())
+                held.update(tokens_of((text.as_py() or "").lower()))
                 if len(held) >= FLUSH:
                     yield out()
                     held.clear()
@@ -197,24 +230,10 @@ def char_model(docs: DataFrame) -> tuple[np.ndarray, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GRAM_BUCKETS + 1)
-        grams: Counter[str] = Counter()
-
-        def flush() -> None:
-            for g, n in grams.items():
-                total[gram_bucket(g)] += n
-            grams.clear()
-
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = f"^{word}$"
-                grams["^"] += n
-                total[GRAM_BUCKETS] += n * (len(s) - 1)
-                for i in range(1, len(s)):
-                    for k in range(max(0, i - ORDER + 1), i + 1):
-                        grams[s[k : i + 1]] += n
-            if len(grams) >= FLUSH:
-                flush()
-        flush()
+            grams, characters = gram_buckets(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            total[:-1] += grams
+            total[-1] += characters
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], names=["bucket", "n"])
 
@@ -265,7 +284,11 @@ class TokenScores(dict):
         self.words, self.scores = words, scores
 
     def of_word(self, word: str) -> float:
-        return max((self.scores.get(b, 0.0) for b in word_features(word)), default=0.0)
+        best, scores = 0.0, self.scores
+        for b in word_features(word):
+            if b in scores and scores[b] > best:
+                best = scores[b]
+        return best
 
     def __missing__(self, token: str) -> float:
         if len(self) >= CACHE:
@@ -277,11 +300,9 @@ class TokenScores(dict):
 def summary(text: str, tokens: TokenScores) -> list[float]:
     """The document's inputs of the regression: its largest word scores and its number of words."""
     low = text.lower()
-    distinct = set(low.split())
+    distinct = set(tokens_of(low))
     found = [s for s in map(tokens.__getitem__, distinct) if s > 0]
-    for m in ALONE.finditer(low):
-        for i in range(m.start(), m.end(), 60):
-            found += [tokens.of_word(w) for w in decode(low[i : min(m.end(), i + 60)], tokens.words.model).split()]
+    found += map(tokens.of_word, lonely(low, tokens.words.model))
     top = sorted(found, reverse=True)[: TOP[-1]]
     bent = [max(0.0, top[0] - k) if top else 0.0 for k in KNEES]  # one sure word can do
     return [sum(top[:n]) / n for n in TOP] + bent + [sum(found) / (1 + len(distinct)), math.log1p(len(distinct)) / 10, 1.0]
