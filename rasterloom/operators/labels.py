@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.bands import squared_distance
 from rasterloom.operators.components import connected_components
-from rasterloom.plans.scale import broadcast_if_small
+from rasterloom.plans.scale import broadcast_if_small, with_row
 
 
 def apply_merge_map(seg: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -23,12 +23,11 @@ def invalid_to_null(seg: DataFrame) -> DataFrame:
 def ranked(ids: DataFrame, order: str, buckets: int = 256) -> DataFrame:
     """ids with `rank`, 1 to their number by `order` (unique longs), without sorting all in one task: values are cut into ranges of
     equal width, ranked inside a range and shifted by the ranges before it."""
-    one = F.lit(1)
-    limits = ids.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi")).withColumn("__one", one)
-    width = F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo") + 1) / buckets)
-    t = ids.withColumn("__one", one).join(F.broadcast(limits), "__one").withColumn("__b", F.floor((F.col(order) - F.col("lo")) / width)).drop("lo", "hi", "__one")
+    limits = ids.agg(F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi"))
+    width = F.greatest(F.lit(1.0), (F.col("__hi") - F.col("__lo") + 1) / buckets)
+    t = with_row(ids, limits).withColumn("__b", F.floor((F.col(order) - F.col("__lo")) / width)).drop("__lo", "__hi")
     sizes = t.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(one).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__b", F.coalesce(before, F.lit(0)).alias("__before"))  # one row per range
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(order))
     return t.withColumn("__r", inside).join(F.broadcast(offsets), "__b").withColumn("rank", (F.col("__before") + F.col("__r")).cast("long")).drop("__b", "__r", "__before")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.bands import bin_of, block, cleaned, valid
+from rasterloom.plans.scale import with_row
 
 
 def from_columns(table: DataFrame, bands: list[str]) -> DataFrame:
@@ -57,11 +58,6 @@ def per_band(px: DataFrame, n: int, **aggregates) -> DataFrame:
     return px.agg(*[F.array(*[f(F.get("bands", F.lit(i))) for i in range(n)]).alias(k) for k, f in aggregates.items()])
 
 
-def with_row(px: DataFrame, one: DataFrame) -> DataFrame:
-    """px beside the columns of a one-row table, which is broadcast."""
-    return px.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
-
-
 def zscore_bands(px: DataFrame, n: int | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(x - mean) / sd by band, sd over n - 1; an sd that is 0 or missing counts as 1. stats: of another table, with arrays mu and sd."""
     n = n or n_bands(px)

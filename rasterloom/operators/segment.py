@@ -138,7 +138,7 @@ def tile_engine(
     tiled = Written(tiles.make_global(Written(cut.drop("error"), "tiles").df), "tiles-global").df
     image = tiles.mosaic(tiled, mosaic_rule)
     if seam_scope == "cross_tile":
-        pairs = tiles.cross_tile_pairs(image, nrow, ncol, tile_size, eight)
+        pairs = tiles.cross_tile_pairs(image, nrow, ncol, tile_size, eight, buffer if mosaic_rule == "last_wins" else 0)
         seen = image
     else:
         table = tiles.make_tiles(px.sparkSession, nrow, ncol, tile_size, buffer)

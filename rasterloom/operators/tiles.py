@@ -79,10 +79,16 @@ def seam_pairs(masked: DataFrame, eight: bool = True) -> DataFrame:
     return pairs.select(F.least("x", "segment_id").alias("a"), F.greatest("x", "segment_id").alias("b")).distinct()
 
 
-def cross_tile_pairs(seg: DataFrame, nrow: int, ncol: int, tile_size: int, eight: bool = True) -> DataFrame:
-    """(a, b): labels that touch across the border of two tiles' inner windows; seg is the mosaic. Only border pixels are shuffled."""
-    edge = lambda x, n: (F.pmod(x, F.lit(tile_size)) == 0) | (F.pmod(x, F.lit(tile_size)) == tile_size - 1) | (F.col(x) == n - 1)
-    t = seg.where("segment_id is not null").where(edge("r", nrow) | edge("c", ncol)).select("r", "c", "segment_id", owner(nrow, ncol, tile_size).alias("t"))
+def cross_tile_pairs(seg: DataFrame, nrow: int, ncol: int, tile_size: int, eight: bool = True, shift: int = 0) -> DataFrame:
+    """(a, b): labels that touch across the border of two tiles; seg is the mosaic. Only border pixels are shuffled.
+
+    shift: how far the borders lie before those of the inner windows: 0 in an inner mosaic, the buffer where the last tile wins.
+    """
+    down, across = grid_shape(nrow, ncol, tile_size)
+    at = lambda x: F.col(x) + shift
+    edge = lambda x: F.pmod(at(x), F.lit(tile_size)).isin(0, tile_size - 1)
+    tile = F.least(F.floor(at("r") / tile_size), F.lit(down - 1)) * across + F.least(F.floor(at("c") / tile_size), F.lit(across - 1))
+    t = seg.where("segment_id is not null").where(edge("r") | edge("c")).select("r", "c", "segment_id", tile.alias("t"))
     first = t.select("r", "c", F.col("segment_id").alias("x"), F.col("t").alias("tx"))
     pairs = shifted(first, FORWARD[: 4 if eight else 2], [F.col("x"), F.col("tx")]).join(t, ["r", "c"]).where("tx <> t and x <> segment_id")
     return pairs.select(F.least("x", "segment_id").alias("a"), F.greatest("x", "segment_id").alias("b")).distinct()

@@ -119,14 +119,14 @@ def grid_init_labels(spark, d):
     return prepare.grid_init_labels(px(spark, d), 10, NCOL).drop("bands")
 
 
-@query("""with t as (select r, c, (r + 0.5) * 2 - 0.5 as y, (c + 0.5) * 2 - 0.5 as x from (select distinct r // 2 as r, c // 2 as c from px_orders where r < 20 and c < 40) q),
+@query("""with t as (select r, c, (r + 0.5) * 2 - 0.5 as y, (c + 0.5) * 2 - 0.5 as x from (select distinct r // 2 as r, c // 2 as c from px_orders where r < 14 and c < 40) q),
 k as (select t.r, t.c, cast(floor(y) as int) + i as sr, cast(floor(x) as int) + j as sc,
   (case when i = 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case when j = 1 then x - floor(x) else 1 - (x - floor(x)) end) as w
   from t, (values (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j))
-select k.r, k.c, round(sum(w * b1) / sum(w), 6) as b1, round(sum(w * b2) / sum(w), 6) as b2 from k join px_orders p on p.r = k.sr and p.c = k.sc where w > 0 group by k.r, k.c""", "px_orders")
+select k.r, k.c, round(sum(w * b1) / sum(w), 6) as b1, round(sum(w * b2) / sum(w), 6) as b2 from k join px_orders p on p.r = k.sr and p.c = k.sc where w > 0 and p.r < 14 and p.c < 40 group by k.r, k.c""", "px_orders")
 def align_resample(spark, d):
-    p = prepare.scan_window(px(spark, d, "px_orders"), 0, 20, 0, 40)
-    return prepare.to_columns(prepare.align_resample(p, fx.n_rows(p) // 2, 20, 2.0, 2.0, 2), 2, places=6)
+    p = prepare.scan_window(px(spark, d, "px_orders"), 0, 14, 0, 40)
+    return prepare.to_columns(prepare.align_resample(p, 7, 20, 2.0, 2.0, 2), 2, places=6)
 
 
 # adjacency

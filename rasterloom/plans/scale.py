@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,8 +49,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
-def all_of(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df beside the columns of a one-row table, by a scalar subquery: no join, whatever the optimizer makes of constant keys."""
+    row = one.select(F.struct(*one.columns)).scalar()
+    return df.withColumn("__row", row).withColumns({c: F.col(f"__row.{c}") for c in one.columns}).drop("__row")
