@@ -121,6 +121,7 @@ def baatz_fast_segment(block: np.ndarray, scale_param: float = 50, color_weight:
     some = first < limit
     heap = list(zip(first[some].tolist(), a[some].tolist(), b[some].tolist(), [0] * int(some.sum()), [0] * int(some.sum())))
     heapq.heapify(heap)
+    push, pop = heapq.heappush, heapq.heappop
     n, total, squares = [1] * count, x.tolist(), (x * x).tolist()
     around, box = [4] * count, [(p, p, q, q) for p, q in zip(r.tolist(), c.tolist())]
     own = [(0.0, 4.0, 1.0)] * count  # n x sd, sqrt(n) x perimeter, n x perimeter / box perimeter
@@ -129,30 +130,29 @@ def baatz_fast_segment(block: np.ndarray, scale_param: float = 50, color_weight:
     for p, q in zip(a.tolist(), b.tolist()):
         near[p][q] = 1
         near[q][p] = 1
-    bands = range(nb)
-    smooth_weight = 1 - compactness
+    smooth_weight, shape_weight = 1 - compactness, 1 - color_weight
 
     def joined(p: int, q: int, sides: int):
         """(factor, own values) of the union."""
         m = n[p] + n[q]
-        tp, tq, sp, sq = total[p], total[q], squares[p], squares[q]
         color = 0.0
-        for k in bands:
-            mean = (tp[k] + tq[k]) / m
-            variance = (sp[k] + sq[k]) / m - mean * mean
+        for u, v, x2, y2, weight in zip(total[p], total[q], squares[p], squares[q], weights):
+            mean = (u + v) / m
+            variance = (x2 + y2) / m - mean * mean
             if variance > 0:
-                color += weights[k] * sqrt(variance)
+                color += weight * sqrt(variance)
         color *= m
         edge = around[p] + around[q] - 2 * sides
-        bp, bq = box[p], box[q]
-        half = 2 * (max(bp[1], bq[1]) - min(bp[0], bq[0]) + max(bp[3], bq[3]) - min(bp[2], bq[2]) + 2)
+        a0, a1, a2, a3 = box[p]
+        b0, b1, b2, b3 = box[q]
+        half = 2 * ((a1 if a1 > b1 else b1) - (a0 if a0 < b0 else b0) + (a3 if a3 > b3 else b3) - (a2 if a2 < b2 else b2) + 2)
         compact, smooth = sqrt(m) * edge, m * edge / half
-        op, oq = own[p], own[q]
-        shape = compactness * (compact - op[1] - oq[1]) + smooth_weight * (smooth - op[2] - oq[2])
-        return color_weight * (color - op[0] - oq[0]) + (1 - color_weight) * shape, (color, compact, smooth)
+        h_p, c_p, s_p = own[p]
+        h_q, c_q, s_q = own[q]
+        return color_weight * (color - h_p - h_q) + shape_weight * (compactness * (compact - c_p - c_q) + smooth_weight * (smooth - s_p - s_q)), (color, compact, smooth)
 
     while heap:
-        _, p, q, vp, vq = heapq.heappop(heap)
+        _, p, q, vp, vq = pop(heap)
         if stamp[p] != vp or stamp[q] != vq:
             continue
         sides = near[p][q]
@@ -181,5 +181,5 @@ def baatz_fast_segment(block: np.ndarray, scale_param: float = 50, color_weight:
         for k, sides in links.items():
             f, _ = joined(p, k, sides)
             if f < limit:
-                heapq.heappush(heap, (f, p, k, stamp[p], stamp[k]) if p < k else (f, k, p, stamp[k], stamp[p]))
+                push(heap, (f, p, k, stamp[p], stamp[k]) if p < k else (f, k, p, stamp[k], stamp[p]))
     return first_seen(roots(np.array(up)).reshape(h, w), np.ones((h, w), bool))

@@ -32,7 +32,7 @@ class Grid:
     def key(self, cells: np.ndarray) -> np.ndarray:
         return (cells - self.low) @ self.strides
 
-    def near(self, y: np.ndarray, chunk: int = 20_000):
+    def near(self, y: np.ndarray, chunk: int = 500_000):
         """(i, j) for points j in the 3^dim cells around y_i, in pieces."""
         steps = cell_offsets(y.shape[1])
         rows = max(1, chunk // len(steps))
