@@ -93,7 +93,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 10, m: int | None = Non
         first = F.lit(True)
         for i in range(m):
             first = first & F.when(F.lit(i) < F.col("j"), bits[i] > radius).otherwise(bits[i] >= radius)
-        met = probes.join(index, ["j", "v"]).withColumn("distance", F.bit_count(differing)).where(first & (F.col("distance") <= F.col("bound")))
+        # sorted join: Spark's estimate doesn't see what explode adds to the probes, and would broadcast them
+        met = probes.hint("merge").join(index, ["j", "v"]).withColumn("distance", F.bit_count(differing)).where(first & (F.col("distance") <= F.col("bound")))
         met = met.select("q", "code", "distance", "least", "ids")
         every = met if found is None else met.unionByName(found)
         found = written(every.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"), "mih-found")
