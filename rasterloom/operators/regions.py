@@ -168,7 +168,7 @@ def cell_key(z: Column, dim: int, cell: float = 1.0) -> Column:
 
 
 def around(key: Column, dim: int) -> Column:
-    """The 3^dim keys around a key, itself among them."""
+    """The 3^dim keys around a key, itself among them. Joins on them ask for a sorted join, as size estimates don't see these copies."""
     steps = [[]]
     for _ in range(dim):
         steps = [[*s, d] for s in steps for d in (-1, 0, 1)]
@@ -182,7 +182,7 @@ def region_meanshift_step(features: DataFrame, dim: int, at: DataFrame | None =
     grid = features.select(F.col("n"), "z", cell_key(F.col("z"), dim).alias("key"))
     probes = at.withColumn("key", around(cell_key(F.col("y"), dim), dim))
     d2 = squared_distance(F.col("z"), F.col("y"))
-    met = probes.join(grid, "key").withColumn("d2", d2).where("d2 <= 9").withColumn("w", F.exp(-F.col("d2") / 2) * F.col("n"))
+    met = probes.hint("merge").join(grid, "key").withColumn("d2", d2).where("d2 <= 9").withColumn("w", F.exp(-F.col("d2") / 2) * F.col("n"))
     sums = met.groupBy("segment_id").agg(*[(F.sum(F.col("w") * F.get("z", F.lit(i))) / F.sum("w")).alias(f"y{i}") for i in range(dim)])
     return sums.select("segment_id", F.array(*[F.col(f"y{i}") for i in range(dim)]).alias("y"))
 
@@ -191,7 +191,7 @@ def mode_pair_join(modes: DataFrame, dim: int, merge: float = 0.6) -> DataFrame:
     """(a, b): pairs of regions whose modes y are within `merge`, found over cells of that size."""
     grid = modes.select(F.col("segment_id").alias("b"), F.col("y").alias("z"), cell_key(F.col("y"), dim, merge).alias("key"))
     probes = modes.select(F.col("segment_id").alias("a"), "y", around(cell_key(F.col("y"), dim, merge), dim).alias("key"))
-    met = probes.join(grid, "key").where("a < b").where(squared_distance(F.col("y"), F.col("z")) <= merge * merge)
+    met = probes.hint("merge").join(grid, "key").where("a < b").where(squared_distance(F.col("y"), F.col("z")) <= merge * merge)
     return met.select("a", "b")
 
 
