@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.bands import bin_of, block, cleaned, valid
+from rasterloom.functions.bands import bin_of, block, finite, valid
 from rasterloom.plans.scale import with_row
 
 
 def from_columns(table: DataFrame, bands: list[str]) -> DataFrame:
     """(r, c, bands) from a table with one column per band; values that aren't finite become null."""
-    return table.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), cleaned(F.array(*[F.col(b).cast("double") for b in bands])).alias("bands"))
+    known = [F.when(finite(F.col(b).cast("double")), F.col(b).cast("double")) for b in bands]
+    return table.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.array(*known).alias("bands"))
 
 
 def to_columns(px: DataFrame, n: int, prefix: str = "b", places: int | None = None) -> DataFrame:
@@ -58,18 +59,23 @@ def per_band(px: DataFrame, n: int, **aggregates) -> DataFrame:
     return px.agg(*[F.array(*[f(F.get("bands", F.lit(i))) for i in range(n)]).alias(k) for k, f in aggregates.items()])
 
 
+def each_band(n: int, f) -> Column:
+    """An array of f(band, its number as a column): plain expressions, which stay inside generated code as a lambda wouldn't."""
+    return F.array(*[f(F.get("bands", F.lit(i)), F.lit(i)) for i in range(n)])
+
+
 def zscore_bands(px: DataFrame, n: int | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(x - mean) / sd by band, sd over n - 1; an sd that is 0 or missing counts as 1. stats: of another table, with arrays mu and sd."""
     n = n or n_bands(px)
     stats = per_band(px, n, mu=F.avg, sd=F.stddev_samp) if stats is None else stats
-    scaled = F.transform(F.col("bands"), lambda x, i: (x - F.get("mu", i)) / F.coalesce(F.nullif(F.get("sd", i), F.lit(0.0)), F.lit(1.0)))
+    scaled = each_band(n, lambda x, i: (x - F.get("mu", i)) / F.coalesce(F.nullif(F.get("sd", i), F.lit(0.0)), F.lit(1.0)))
     return with_row(px, stats).withColumn("bands", scaled).drop("mu", "sd")
 
 
 def fill_na_band_mean(px: DataFrame, n: int | None = None) -> DataFrame:
     """Missing values become their band's mean."""
     n = n or n_bands(px)
-    filled = F.transform(F.col("bands"), lambda x, i: F.coalesce(x, F.get("mu", i)))
+    filled = each_band(n, lambda x, i: F.coalesce(x, F.get("mu", i)))
     return with_row(px, per_band(px, n, mu=F.avg)).withColumn("bands", filled).drop("mu")
 
 
@@ -103,7 +109,7 @@ def quantize_bins(px: DataFrame, bins: int = 20, n: int | None = None) -> DataFr
     n = n or n_bands(px)
     limits = per_band(px, n, lo=lambda x: F.coalesce(F.min(x), F.lit(0.0)), hi=lambda x: F.coalesce(F.max(x), F.lit(1.0)))
     top = lambda i: F.when(F.get("hi", i) > F.get("lo", i), F.get("hi", i)).otherwise(F.get("lo", i) + 1)
-    q = F.transform(F.col("bands"), lambda x, i: bin_of(x, F.get("lo", i), top(i), bins))
+    q = each_band(n, lambda x, i: bin_of(x, F.get("lo", i), top(i), bins))
     return with_row(px, limits).withColumn("qbins", q).drop("lo", "hi")
 
 

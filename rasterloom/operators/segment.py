@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +52,15 @@ def segment_tiles(px: DataFrame, nrow: int, ncol: int, fun: Segmenter, args: dic
     flat = px.select("r", "c", *[F.get("bands", F.lit(i)).alias(f"b{i}") for i in range(n)])
     dealt = tiles.assign_pixels(flat, nrow, ncol, size, buffer)
 
-    def one(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        i, j = divmod(int(key[0]), across)
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        tile = key[0].as_py()
+        i, j = divmod(tile, across)
         r0, r1 = max(0, i * size - buffer), min(nrow, min(nrow, (i + 1) * size) + buffer)
         c0, c1 = max(0, j * size - buffer), min(ncol, min(ncol, (j + 1) * size) + buffer)
         block = np.full((n, r1 - r0, c1 - c0), np.nan)
         r, c = t["r"].to_numpy() - r0, t["c"].to_numpy() - c0
         for k in range(n):
-            block[k, r, c] = t[f"b{k}"].to_numpy(dtype=float, na_value=np.nan)
+            block[k, r, c] = t[f"b{k}"].to_numpy()  # null is NaN
         error, bands = None, None
         try:
             got = fun(scaled_block(block) if scale_tiles else block, **args)
@@ -68,14 +69,14 @@ def segment_tiles(px: DataFrame, nrow: int, ncol: int, fun: Segmenter, args: dic
             label = (got if got.ndim == 2 else got[0])[r, c].astype(np.int64)  # the first layer of several
         except Exception as e:  # one tile's failure leaves the others
             error, label = f"{type(e).__name__}: {e}", np.zeros(len(t), np.int64)
-        out = pd.DataFrame({"tile_id": int(key[0]), "r": t["r"], "c": t["c"], "inner": t["inner"], "segment_id": pd.array(label, "Int64"), "error": error})
-        out.loc[label <= 0, "segment_id"] = pd.NA
+        columns = {"tile_id": pa.array(np.full(len(t), tile)), "r": t["r"], "c": t["c"], "inner": t["inner"], "segment_id": pa.array(label, mask=label <= 0), "error": pa.array([error] * len(t), pa.string())}
         if filtered:
-            out["filtered"] = list(bands[:, r, c].T) if bands is not None else None
-        return out if keep_buffer else out[out["inner"]]
+            columns["filtered"] = pa.array(list(bands[:, r, c].T) if bands is not None else [None] * len(t), pa.list_(pa.float64()))
+        out = pa.table(columns)
+        return out if keep_buffer else out.filter(out["inner"])
 
     schema = "tile_id long, r int, c int, inner boolean, segment_id long, error string" + ", filtered array<double>" * filtered
-    return dealt.groupBy("tile_id").applyInPandas(one, schema)
+    return dealt.groupBy("tile_id").applyInArrow(one, schema)
 
 
 def prepared(px: DataFrame, scale_bands: bool, smooth: int, smooth_edge: str = "null") -> DataFrame:
