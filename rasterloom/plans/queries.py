@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from rasterloom.operators import adjacency, labels, prepare, regions, segment, tiles
 from rasterloom.operators.components import connected_components
 from rasterloom.plans import fixtures as fx
-from rasterloom.plans.scale import Written
+from rasterloom.plans.scale import Written, shared_dir
+from rasterloom.sources import geotiff, tables
 
 NCOL = 100
 TILE, BUFFER = 40, 4
@@ -129,6 +131,26 @@ def align_resample(spark, d):
     return prepare.to_columns(prepare.align_resample(p, 7, 20, 2.0, 2.0, 2), 2, places=6)
 
 
+@query("select r, c, b1, b2 from px_orders", "px_orders")
+def geotiff_roundtrip(spark, d):
+    """Written as GeoTIFF blocks of 32 rows to the shared folder and read again."""
+    p = px(spark, d, "px_orders")
+    folder = f"{shared_dir(spark)}/tif-{uuid.uuid4().hex}"
+    geotiff.write_geotiff(geotiff.encode_bands(p, fx.n_rows(p), NCOL, 32), folder)
+    back = geotiff.read_geotiff(spark, f"{folder}/*.tif")
+    return prepare.to_columns(back.select((F.col("r") + 32 * F.regexp_extract("path", r"_(\d+)\.tif", 1).cast("int")).alias("r"), "c", "bands"), 2)
+
+
+@query(f"select tile_id, count(*) as n, min(r) as r0, max(r) as r1 from (select cast(r // {TILE} * 3 + c // {TILE} as bigint) as tile_id, r from px_events) t group by tile_id", "px_events")
+def tile_files(spark, d):
+    """Buffered tiles written by tile and read again; pixels that a tile owns."""
+    p = px(spark, d)
+    folder = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    tables.write_tiles(tiles.assign_pixels(p, fx.n_rows(p), NCOL, TILE, BUFFER), folder)
+    back = spark.read.parquet(folder).where("inner")
+    return back.groupBy(F.col("tile_id").cast("long").alias("tile_id")).agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.max("r").alias("r1"))
+
+
 # adjacency
 
 STEPS4, STEPS8 = "(values (0, 1, 0), (1, 0, 1)) o(dr, dc, dir)", "(values (0, 1, 0), (1, 0, 1), (1, 1, 2), (1, -1, 3)) o(dr, dc, dir)"
@@ -260,6 +282,14 @@ def segment_means(spark, d):
     return spread_out(regions.segment_means(px(spark, d, "px_events_na"), fx.labels(spark, d, "seg_blocks"), 3), "mean", 3, "mean")
 
 
+@query("""with ids as (select segment_id from seg_blocks where segment_id % 5 = 0 union select 1000000)
+select i.segment_id, round(avg(b1), 6) as mean1, round(avg(b2), 6) as mean2, round(avg(b3), 6) as mean3 from ids i left join seg_blocks s on s.segment_id = i.segment_id left join px_events p on s.r = p.r and s.c = p.c group by i.segment_id""", "px_events", "seg_blocks")
+def segment_means_of_ids(spark, d):
+    seg = fx.labels(spark, d, "seg_blocks")
+    ids = seg.where("segment_id % 5 = 0").select("segment_id").unionByName(spark.range(1_000_000, 1_000_001).select(F.col("id").alias("segment_id"))).distinct()
+    return spread_out(regions.segment_means(px(spark, d), seg, 3, ids), "mean", 3, "mean")
+
+
 @query("select segment_id, count(*) as n from seg_embed group by segment_id", "seg_embed")
 def segment_sizes(spark, d):
     return regions.segment_sizes(fx.labels(spark, d, "seg_embed"))
@@ -461,6 +491,13 @@ def disconnected_segments(spark, d):
     return regions.disconnected_segments(fx.labels(spark, d, "seg_embed"), True)
 
 
+@query(f"""with near as (select a.r * 25 + a.c as a, b.r * 25 + b.c as b from seg_embed a cross join {STEPS8} join seg_embed b on b.r = a.r + dr and b.c = a.c + dc and a.segment_id = b.segment_id),
+{component_sql("select a, b from near", "select r * 25 + c as id from seg_embed")}
+select r, c, dense_rank() over (order by new_id) as segment_id from seg_embed s join found on old_id = s.r * 25 + s.c""", "seg_embed")
+def enforce_connectivity(spark, d):
+    return labels.enforce_connectivity(fx.labels(spark, d, "seg_embed"), 25, True)
+
+
 # tiles
 
 GRID = f"""with size as (select max(r) + 1 as nrow from px_events), grid as (
