@@ -122,53 +122,35 @@ def baatz_fast_segment(block: np.ndarray, scale_param: float = 50, color_weight:
     heap = list(zip(first[some].tolist(), a[some].tolist(), b[some].tolist(), [0] * int(some.sum()), [0] * int(some.sum())))
     heapq.heapify(heap)
     push, pop = heapq.heappush, heapq.heappop
-    n, total, squares = [1] * count, x.tolist(), (x * x).tolist()
-    around, box = [4] * count, [(p, p, q, q) for p, q in zip(r.tolist(), c.tolist())]
-    own = [(0.0, 4.0, 1.0)] * count  # n x sd, sqrt(n) x perimeter, n x perimeter / box perimeter
+    # a region: pixels, perimeter, box, n x sd, sqrt(n) x perimeter, n x perimeter / box perimeter; sums and squares by band
+    regions = [(1, 4, p, p, q, q, 0.0, 4.0, 1.0) for p, q in zip(r.tolist(), c.tolist())]
+    total, squares = x.tolist(), (x * x).tolist()
     stamp, up = [0] * count, list(range(count))
     near: list[dict[int, int] | None] = [{} for _ in range(count)]
     for p, q in zip(a.tolist(), b.tolist()):
         near[p][q] = 1
         near[q][p] = 1
     smooth_weight, shape_weight = 1 - compactness, 1 - color_weight
-
-    def joined(p: int, q: int, sides: int):
-        """(factor, own values) of the union."""
-        m = n[p] + n[q]
-        color = 0.0
-        for u, v, x2, y2, weight in zip(total[p], total[q], squares[p], squares[q], weights):
-            mean = (u + v) / m
-            variance = (x2 + y2) / m - mean * mean
-            if variance > 0:
-                color += weight * sqrt(variance)
-        color *= m
-        edge = around[p] + around[q] - 2 * sides
-        a0, a1, a2, a3 = box[p]
-        b0, b1, b2, b3 = box[q]
-        half = 2 * ((a1 if a1 > b1 else b1) - (a0 if a0 < b0 else b0) + (a3 if a3 > b3 else b3) - (a2 if a2 < b2 else b2) + 2)
-        compact, smooth = sqrt(m) * edge, m * edge / half
-        h_p, c_p, s_p = own[p]
-        h_q, c_q, s_q = own[q]
-        return color_weight * (color - h_p - h_q) + shape_weight * (compactness * (compact - c_p - c_q) + smooth_weight * (smooth - s_p - s_q)), (color, compact, smooth)
-
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
         _, p, q, vp, vq = pop(heap)
         if stamp[p] != vp or stamp[q] != vq:
             continue
-        sides = near[p][q]
-        if n[p] < n[q]:
+        if regions[p][0] < regions[q][0]:
             p, q = q, p
-        _, own_p = joined(p, q, sides)
-        around[p] += around[q] - 2 * sides
-        bp, bq = box[p], box[q]
-        box[p] = (min(bp[0], bq[0]), max(bp[1], bq[1]), min(bp[2], bq[2]), max(bp[3], bq[3]))
-        n[p] += n[q]
-        total[p] = [u + v for u, v in zip(total[p], total[q])]
-        squares[p] = [u + v for u, v in zip(squares[p], squares[q])]
-        own[p] = own_p
-        up[q] = p
         links, gone = near[p], near[q]
-        del links[q]
+        sides = links.pop(q)
+        n, around, a0, a1, a2, a3, *_ = regions[p]
+        m, edge, b0, b1, b2, b3, *_ = regions[q]
+        n += m
+        around += edge - 2 * sides
+        a0, a1, a2, a3 = min(a0, b0), max(a1, b1), min(a2, b2), max(a3, b3)
+        sums = total[p] = [u + v for u, v in zip(total[p], total[q])]
+        squared = squares[p] = [u + v for u, v in zip(squares[p], squares[q])]
+        spread = sum(weight * sqrt(max(0.0, n * v - u * u)) for u, v, weight in zip(sums, squared, weights))
+        compact, smooth = sqrt(n) * around, n * around / (2 * (a1 - a0 + a3 - a2 + 2))
+        regions[p] = (n, around, a0, a1, a2, a3, spread, compact, smooth)
+        up[q] = p
         for k, sides in gone.items():
             if k != p:
                 links[k] = links.get(k, 0) + sides
@@ -176,10 +158,20 @@ def baatz_fast_segment(block: np.ndarray, scale_param: float = 50, color_weight:
                 del other[q]
                 other[p] = links[k]
         near[q] = None
-        stamp[p] += 1
+        vp = stamp[p] = stamp[p] + 1
         stamp[q] = -1
-        for k, sides in links.items():
-            f, _ = joined(p, k, sides)
+        for k, sides in links.items():  # the factors of the new region's pairs
+            m, edge, b0, b1, b2, b3, spread_k, compact_k, smooth_k = regions[k]
+            m += n
+            edge += around - 2 * sides
+            color = 0.0
+            for u, v, u2, v2, weight in zip(sums, total[k], squared, squares[k], weights):
+                u += v
+                v = m * (u2 + v2) - u * u  # the square of n x sd
+                if v > 0:
+                    color += weight * sqrt(v)
+            half = 2 * ((a1 if a1 > b1 else b1) - (a0 if a0 < b0 else b0) + (a3 if a3 > b3 else b3) - (a2 if a2 < b2 else b2) + 2)
+            f = color_weight * (color - spread - spread_k) + shape_weight * (compactness * (sqrt(m) * edge - compact - compact_k) + smooth_weight * (m * edge / half - smooth - smooth_k))
             if f < limit:
-                push(heap, (f, p, k, stamp[p], stamp[k]) if p < k else (f, k, p, stamp[k], stamp[p]))
+                push(heap, (f, p, k, vp, stamp[k]) if p < k else (f, k, p, stamp[k], vp))
     return first_seen(roots(np.array(up)).reshape(h, w), np.ones((h, w), bool))
