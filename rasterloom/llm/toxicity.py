@@ -4,7 +4,7 @@
    the different words, weighted by their counts and hashed into 2^18 buckets, which bound what reaches the driver.
 2. Noisy channel: a token with digits or signs among its letters, or with a character three times running, and letters
    that stand alone one after another, form a lattice: a sign may stand for each letter it resembles, a repeated
-   character may be one, a separator may be a word's end or nothing. Viterbi finds the likeliest text under model and
+   character may be one, a separator may be a word's end or nothing; at a token's ends, a sign may be punctuation. Viterbi finds the likeliest text under model and
    channel. Tokens without noise have one path and stay as they are. Decoded tokens are cached per task, up to a bound.
 3. Lexicon: for restored words and their beginnings (3 to 9 bytes), in how many toxic and other labelled documents they
    are found; the lower confidence bound of the log ratio counts if it is above 0. Counts are over all labelled documents
@@ -50,8 +50,10 @@ KINDS = ("clean0", "toxic0", "clean2", "toxic2")
 #: The letters that a sign is used for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l"}
 #: Signs put between letters.
-SEPARATORS = " .-_*~·"
+SEPARATORS = " .,-_*~·"
 STRIP = ".,;:?\"'()[]{}<>#%&*|!~-_…"
+#: Those that stand for no letter are punctuation at a token's ends; the others may be.
+PLAIN = "".join(c for c in STRIP if c not in LOOKS)
 #: Log probabilities of the channel.
 AS_IS, LOOKALIKE, REPEATED = math.log(0.9), math.log(0.3), math.log(0.2)
 #: Of a separator between single letters to be nothing or a word's end: other signs than spaces seldom end words there.
@@ -111,7 +113,8 @@ class CharModel:
 def decode(observed: str, model: CharModel, beam: int = 64) -> str:
     """The likeliest text behind an observed one; beam bounds the states of a step, by likelihood."""
     states: dict[tuple[str, str], tuple[float, str]] = {("^", ""): (0.0, "")}  # (context, last observed) -> (log p, text)
-    for c in observed:
+    head, tail = len(observed) - len(observed.lstrip(STRIP)), len(observed.rstrip(STRIP))
+    for at, c in enumerate(observed):
         following: dict[tuple[str, str], tuple[float, str]] = {}
 
         def put(context: str, p: float, text: str) -> None:
@@ -120,6 +123,10 @@ def decode(observed: str, model: CharModel, beam: int = 64) -> str:
                 following[key] = (p, text)
 
         for (context, last), (p, text) in states.items():
+            if c in STRIP and not head <= at < tail:
+                put(context, p + (AS_IS if c in LOOKS else 0.0), text)
+                if c not in LOOKS:
+                    continue
             if c in SEPARATORS:
                 joined, broken = GAPS[c == " "]
                 put(context, p + joined, text)
@@ -152,8 +159,8 @@ class Restored(dict):
     def restore(self, token: str) -> tuple[str, ...]:
         if token.isalpha() and not RUN.search(token):
             return (token,)
-        bare = DECORATION.sub("", token.strip(STRIP)).strip(STRIP)
-        if not bare or not any(map(str.isalpha, bare)):
+        bare = DECORATION.sub("", token.strip(PLAIN)).strip(PLAIN)
+        if not any(c.isalpha() or c in LOOKS for c in bare.strip(STRIP) or bare):
             return ()
         if bare.isalpha() and not RUN.search(bare):
             return (bare,)
@@ -176,8 +183,8 @@ def kept(run: str, name: str, make):
 
 
 def tokens_of(low: str) -> list[str]:
-    """Tokens of a lower-cased text; full stops and commas end them (letters between them are found by ALONE)."""
-    return low.replace(".", " ").replace(",", " ").split()
+    """Tokens of a lower-cased text; full stops and commas end them only before white space or the text's end."""
+    return [t.rstrip(".,") for t in low.split()]
 
 
 def lonely(low: str, model: CharModel) -> list[str]:

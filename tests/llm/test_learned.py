@@ -120,6 +120,15 @@ def test_decode_against_all_paths():
         assert toxicity.decode(token, model) == "".join(x for x, _ in best)
 
 
+def test_signs_inside_and_at_the_ends_of_tokens_are_decoded():
+    """Dots inside tokens, tokens without letters and lookalikes at the ends reach the lattice; punctuation is still dropped."""
+    words = ["stupid", "idiot", "trash", "ass", "hello", "garden"]
+    model = toxicity.CharModel(*toxicity.gram_buckets(words, np.full(len(words), 100)))
+    cache = toxicity.Restored(model)
+    for text, word in [("stu.pid", "stupid"), ("an id.iot, he", "idiot"), ("tr,ash.", "trash"), ("!diot", "idiot"), ("@$$", "ass"), ("455", "ass"), ("(hello!)", "hello"), ("garden!, hello.", "garden")]:
+        assert word in toxicity.restored_words(text, cache), text
+
+
 def test_toxicity_hard_rows(docs, hard, clash, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(docs(hard, clash), none).toPandas()
