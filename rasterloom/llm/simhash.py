@@ -20,19 +20,33 @@ none); repeated rows are kept; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm import similar
 from rasterloom.operators.components import connected_components
-from rasterloom.plans.scale import Written
+from rasterloom.plans.scale import Written, written
 
 BITS = 64
+#: Hashes of a text that are counted at once.
+PIECE = 1 << 16
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that are set in more than half of the hashes; the pieces end with the first empty one."""
+    total, n = np.zeros(BITS, np.int64), 0
+    for piece in pieces:
+        if not len(piece):
+            break
+        n += len(piece)
+        total += np.unpackbits(piece.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -44,11 +58,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         return 0
     shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)))) if len(tokens) >= words else [b" ".join(tokens)]
     hashes = map(xxhash.xxh64_intdigest, shingles, repeat(42))
-    total, n = np.zeros(BITS, np.int64), 0
-    while len(piece := np.fromiter(islice(hashes, 1 << 16), np.uint64)):  # in pieces, for very long texts
-        n += len(piece)
-        total += np.unpackbits(piece.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter(islice(hashes, PIECE), np.uint64) for _ in repeat(0))  # in pieces, for very long texts
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -70,8 +80,8 @@ def rotate(x: np.ndarray, by: int) -> np.ndarray:
 
 def budgets(errors: int) -> np.ndarray:
     """Most differing bits in the first d bits of a rotation, for d = 0..64."""
-    width = BITS / (errors + 1)
-    return np.array([min(errors, int(errors * np.ceil(d / width) / (errors + 1))) for d in range(BITS + 1)], np.int64)
+    width = BITS // (errors + 1)
+    return np.array([min(errors, errors * -(-d // width) // (errors + 1)) for d in range(BITS + 1)], np.int64)
 
 
 def trie_pairs(keys: np.ndarray, pairs: np.ndarray, depth: int, budget: np.ndarray, leaf: int = 6) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -156,7 +166,6 @@ def node_links(distinct: DataFrame, errors: int = 3, step: int = 8, cap: int = 4
     """(a, b): a spanning forest, per task, of the links between distinct fingerprints (column fp, signed long)."""
     width = BITS // (errors + 1)
     budget = budgets(errors)
-    limit = F.array(*[F.lit(int(x)) for x in budget])
 
     def turned(by: int):
         return F.col("fp") if by == 0 else F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", BITS - by))
@@ -167,26 +176,27 @@ def node_links(distinct: DataFrame, errors: int = 3, step: int = 8, cap: int = 4
     rows = rows.select("rot", "u", F.col("u").alias("v"), F.lit(0).alias("acc"), F.lit(0).alias("side"), "key")
     parts: list[DataFrame] = []
     depth = width
-    kept: list[Written] = []
+    drop: list[Written] = []
     while True:
         pair = ["rot", "u", "v"]
         if depth >= BITS:
             parts.append(rows.withColumn("depth", F.lit(depth)))
             break
         sizes = rows.groupBy(*pair).agg(F.count(F.when(F.col("side") == 0, 1)).alias("n0"), F.count(F.when(F.col("side") == 1, 1)).alias("n1"))
-        big = sizes.where((F.col("n0") + F.col("n1") > cap) & ((F.col("u") == F.col("v")) | ((F.col("n0") > 0) & (F.col("n1") > 0)))).select(*pair, F.lit(True).alias("big"))
-        marked = Written(big, "trie-big")
-        kept.append(marked)
-        if marked.df.isEmpty():
-            parts.append(rows.withColumn("depth", F.lit(depth)))
+        live = sizes.where(((F.col("u") == F.col("v")) & (F.col("n0") > 1)) | ((F.col("n0") > 0) & (F.col("n1") > 0)))
+        live = Written(live.select(*pair, F.when(F.col("n0") + F.col("n1") > cap, True).alias("big")).where("big" if depth == width else "true"), "trie-live")
+        drop.append(live)
+        if live.df.where("big").isEmpty():
+            # copies made for a partner that isn't there are left out
+            parts.append((rows if depth == width else rows.join(live.df.drop("big"), pair, "left_semi")).withColumn("depth", F.lit(depth)))
             break
-        flagged = rows.join(marked.df, pair, "left")
+        flagged = rows.join(live.df, pair, "left" if depth == width else "inner")
         parts.append(flagged.where("big is null").drop("big").withColumn("depth", F.lit(depth)))
         wide = min(step, BITS - depth)
         most = int(budget[depth + wide])
         masks = [m for m in range(1 << wide) if bin(m).count("1") <= most]
         opened = Written(flagged.where("big").drop("big"), "trie-open")
-        kept.append(opened)
+        drop.append(opened)
         sub = F.shiftrightunsigned("key", BITS - depth - wide)
         child = opened.df.withColumn("w", sub).withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
         # the partner node's prefix: the other side's prefix with the next bits changed by the mask
@@ -245,7 +255,10 @@ def node_links(distinct: DataFrame, errors: int = 3, step: int = 8, cap: int = 4
 
     # node pairs whole in a partition; within a pair, side 0 first and keys in unsigned order
     dealt = rows.repartition("grp").sortWithinPartitions("grp", "depth", "side", F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
-    return dealt.mapInPandas(run, "a long, b long")
+    out = written(dealt.mapInPandas(run, "a long, b long"), "trie-links")
+    for table in drop:
+        table.drop()
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 3, words: int = 3) -> DataFrame:
@@ -263,12 +276,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 3, words: int = 3) -> DataFrame:
-    """The rows of docs that stand for their group: the first by (doc_id, text hash), nulls last; all columns are kept."""
-    row = F.struct(F.col(id_col).isNull().alias("i"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    keyed = docs.select(F.struct(id_col, F.xxhash64(text_col).alias("h")).alias("k"), text_col)
-    found = near_duplicates(keyed, "k", text_col, errors, words)
-    first = found.groupBy("links_to").agg(F.min(F.struct(F.col(f"doc_id.{id_col}").isNull().alias("i"), F.col(f"doc_id.{id_col}").alias("id"), F.col("doc_id.h").alias("h"))).alias("row"))
-    chosen = Written(first.select(F.struct("row.*").alias("__row")), "simhash-chosen").df
-    kept = docs.withColumn("__row", row).join(chosen, "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).drop("__row")
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A struct that orders rows by (id, text hash, hash of all columns), null ids last."""
+    plain = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.struct(F.col(id_col).isNull().alias("i"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"), F.xxhash64(*plain).alias("row"))
+
+
+def digests(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(t, fp, prefix) of rows (t, text), one scan: the fingerprint, and the shingles that the prefix filter looks at."""
+    common = texts.sparkSession.sparkContext.broadcast(similar.common_shingles(texts, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, parts = [], []
+            for x in batch.column(1):
+                found = similar.hashes(x.as_py(), words)
+                fps.append(majority(found[i : i + PIECE] for i in range(0, len(found), PIECE)))
+                parts.append(similar.prefix(np.unique(found), common.value, percent).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(parts, pa.list_(pa.int64()))], names=["t", "fp", "prefix"])
+
+    return texts.mapInArrow(run, "t long, fp long, prefix array<long>")
+
+
+def similar_texts(texts: DataFrame, errors: int = 3, words: int = 5, percent: int = 80) -> DataFrame:
+    """(node, component) over the hashes t of rows (t, text): texts linked at Jaccard >= percent of their sets of shingles.
+
+    The trie self-join links fingerprints at `errors` or fewer differing bits; every such link is checked on the whole sets.
+    Sets of similarity 0.8 differ in about 10 of 64 bits, which no such budget covers, so `similar.links` adds the others.
+    """
+    found = Written(digests(texts, words, percent), "simhash-digests")
+    first = Written(found.df.groupBy("fp").agg(F.min("t").alias("first")), "simhash-first")
+    same = found.df.select("fp", "t").join(first.df, "fp").where("t <> first").select(F.col("first").alias("a"), F.col("t").alias("b")).distinct()
+    near = node_links(first.df.select("fp"), errors).join(first.df.toDF("a", "x"), "a").join(first.df.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    proposed = Written(same.unionByName(near), "simhash-proposed")
+    out = similar.links(texts, found.df.select("t", "prefix"), proposed.df, words, percent)
+    for table in (found, first, proposed):
+        table.drop()
+    return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = 3, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stand for their group of `similar_texts`: the first by (id, text hash, hash of all columns), null ids
+    last. Rows that are equal in all columns are one. A null text is an empty one. All columns are kept."""
+    key = row_key(docs, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = similar_texts(docs.select(F.xxhash64(text).alias("t"), text.alias("text")), errors, words, percent)
+    counted = docs.select(key.alias("k")).groupBy(F.col("k.t").alias("node")).agg(F.min("k").alias("k"))
+    first = counted.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("k").alias("k"))
+    chosen = Written(first.select(F.col("k").alias("__key")), "simhash-chosen")
+    keyed = docs.withColumn("__key", key)
+    kept = keyed.join(chosen.df, "__key", "left_semi")
+    times = docs.select(key.alias("__key")).join(chosen.df, "__key", "left_semi").groupBy("__key").count().where("count > 1")
+    if not times.isEmpty():  # rows that are equal in all columns
+        twice = Written(times.select("__key"), "simhash-twice").df
+        kept = kept.join(twice, "__key", "left_anti").unionByName(keyed.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.drop("__key")

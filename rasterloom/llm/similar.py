@@ -1,13 +1,16 @@
-"""Near-duplicates by exact similarity: Jaccard >= 0.8 between the sets of 5-word shingles, linked transitively.
+"""Links of near-duplicates by exact similarity: Jaccard >= 0.8 between the sets of 5-word shingles, linked transitively.
 
 Words are those of op1 (A-Z lower-cased, split at ASCII white space); a shingle counts as its XXH64 (seed 42), fewer words
 than five are one shingle, and texts without words have an empty set and are alike. Texts are known by their xxhash64.
 
-Candidates lose nothing (prefix filter): with any one order of all shingles, two sets of similarity >= t share a shingle
-among the first n - ceil(t * n) + 1 of each. The order puts shingles last that are common in a sample of the texts, which
-bounds the work and doesn't change the result. Texts that share such a shingle form a group. In each round a group's texts
-are compared with one of them, which then leaves; groups inside one component are done, so a large group of near copies
-takes about one comparison a text. What is left is compared pair by pair. Every link is checked on the whole sets.
+`links` takes pairs that another operator proposes (the trie self-join of fingerprints), checks them on the whole sets, and
+adds what bits don't show by a prefix filter, which loses nothing: with any one order of all shingles, two sets of
+similarity >= t share a shingle among the first n - ceil(t * n) + 1 of each. The order puts shingles last that are common
+in a sample of the texts, which bounds the work and doesn't change the result. Texts that share such a shingle form a
+group. A group's texts are compared with one of them, which then leaves; groups that lie in one component are done, so a
+large group of near copies takes about one comparison a text. What is left is compared pair by pair in groups of at most
+SMALL texts, and with PIVOTS texts a round, which then leave, in larger ones: k texts that aren't alike but share a prefix
+shingle take k / PIVOTS rounds, and no large group is ever expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -25,78 +28,59 @@ from rasterloom.plans.scale import Written, broadcast_if_small
 
 #: One text in so many is counted to find common shingles, and those seen so often there are put last.
 SAMPLE, OFTEN, MOST_COMMON = 16, 4, 200_000
-#: All pairs that are left are compared once they are this few (or two a row), or after so many rounds.
-FEW, ROUNDS = 200_000, 6
+#: In the first round every group's texts are compared with one of them. Later, groups of so few texts are compared pair by pair,
+SMALL = 128
+#: and larger ones with so many texts of theirs a round.
+PIVOTS = 32
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """The sorted different shingle hashes of a text."""
+def hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """The shingle hashes of a text in order, repeats included."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
     parts = map(b" ".join, zip(*(tokens[i:] for i in range(words)))) if len(tokens) >= words else [b" ".join(tokens)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64)
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The sorted different shingle hashes of a text."""
+    return np.unique(hashes(text, words))
 
 
 def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t * n) + 1 shingles: those not in common (sorted) come first. An empty set has the one value 0."""
+Common = tuple[np.ndarray, np.ndarray]
+
+
+def prefix(found: np.ndarray, common: Common, percent: int) -> np.ndarray:
+    """The first n - ceil(t * n) + 1 shingles: first those that aren't common, then by their count. An empty set has the one value 0."""
     if not len(found):
         return np.zeros(1, np.uint64)
-    if len(common):
-        late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
-        found = np.concatenate([found[~late], found[late]])
+    known, counts = common
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        found = found[np.argsort(np.where(known[at] == found, counts[at], 0), kind="stable")]
     return found[: len(found) - needed(len(found), percent) + 1]
 
 
-def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
+def common_shingles(texts: DataFrame, words: int) -> Common:
+    """The most common shingles of a sample of the texts (t, text), sorted, and their counts; at most MOST_COMMON."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words).view(np.int64))], names=["s"])
 
     counted = texts.where(F.pmod("t", F.lit(SAMPLE)) == 0).mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= OFTEN)
-    got = counted.orderBy(F.desc("count"), "s").limit(MOST_COMMON).select("s").toArrow()["s"].to_numpy()
-    return np.sort(got.view(np.uint64))
-
-
-def members(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(s, t): texts that share a prefix shingle with another one."""
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [prefix(shingles(x.as_py(), words), common.value, percent) for x in batch.column(1)]
-            if parts:
-                of = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(of)], names=["s", "t"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted: those whose s has another t before or behind, each once."""
-        last: tuple[int, int] | None = None
-        told = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last is not None:
-                s, t = np.concatenate([[last[0]], s]), np.concatenate([[last[1]], t])
-            new = np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])])
-            s, t = s[new], t[new]
-            with_next = np.concatenate([s[1:] == s[:-1], [False]])
-            with_last = np.concatenate([[told], s[1:] == s[:-1]])
-            hit = with_next | with_last
-            if last is not None and told:
-                hit[0] = False  # given with the batch before
-            last, told = (int(s[-1]), int(t[-1])), bool(with_last[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(s[hit]), pa.array(t[hit])], names=["s", "t"])
-
-    return texts.mapInArrow(cut, "s long, t long").repartition("s").sortWithinPartitions("s", "t").mapInArrow(shared, "s long, t long")
+    got = counted.orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()
+    known = got["s"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    return known[order], got["count"].to_numpy()[order]
 
 
 def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -118,56 +102,52 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def links(texts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(node, component) over text hashes that are linked to others, from rows (t, text)."""
-    rows = Written(members(texts, words, percent), "similar-members").df
+def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(node, component) over text hashes that are linked to others.
+
+    texts: (t, text); prefixes: (t, prefix), the prefix shingles of every text; proposed: pairs (a, b) that may be similar.
+    """
+    each = prefixes.select("t", F.explode("prefix").alias("s"))
+    # shingles of several texts, by a combining aggregation, so that a very common one isn't gathered in one task
+    several = Written(each.groupBy("s").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("s"), "similar-several")
+    members = Written(each.join(broadcast_if_small(several.df, 1_000_000), "s", "left_semi").distinct(), "similar-members")
+    rows = members.df
+    drop = [several, members]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x.as_py(), words) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())], names=["t", "n", "h"])
 
-    wanted = broadcast_if_small(Written(rows.select("t").distinct(), "similar-wanted").df, 1_000_000)
-    sets = Written(texts.join(wanted, "t", "left_semi").mapInArrow(whole, "t long, n int, h binary").dropDuplicates(["t"]), "similar-sets").df
-    linked = Written(rows.select(F.col("t").alias("a"), F.col("t").alias("b")).limit(0), "similar-links").df
-    found = linked.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    n = rows.count()
+    met = Written(rows.select("t").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("t"))).distinct(), "similar-wanted")
+    wanted = broadcast_if_small(met.df, 1_000_000)
+    sets = Written(texts.join(wanted, "t", "left_semi").mapInArrow(whole, "t long, n int, h binary").dropDuplicates(["t"]), "similar-sets")
+    linked = Written(checked(proposed, sets.df, percent), "similar-links")
+    found = Written(connected_components(linked.df), "similar-found")
     turn = 0
-    while n:
-        tagged = rows.join(found.withColumnRenamed("node", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
-        # pairs of a group that are in different components: (n^2 - sum of squares by component) / 2
-        by = tagged.groupBy("s", "component").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q")).where("n * n > q")
-        todo = Written(by, "similar-todo").df
-        left = todo.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0] or 0
-        if not left:
-            break
-        open_ = Written(tagged.join(todo.select("s"), "s", "left_semi"), "similar-open").df
-        last = left <= max(FEW, 2 * n) or turn == ROUNDS
-        if last:
-            x, y = (open_.select("s", F.col("t").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-            pairs = x.join(y, "s").where("a < b and ca <> cb").select("a", "b").distinct()
-        else:
-            order = F.struct(F.xxhash64("t", F.lit(turn)).alias("o"), F.col("t").alias("t"), F.col("component").alias("c"))
-            pivot = open_.groupBy("s").agg(F.min(order).alias("p")).select("s", F.col("p.t").alias("pivot"), F.col("p.c").alias("cp"))
-            against = Written(open_.join(pivot, "s").where("t <> pivot"), "similar-pivots").df
-            pairs = against.where("component <> cp").select(F.least("t", "pivot").alias("a"), F.greatest("t", "pivot").alias("b")).distinct()
-            rows = against.select("s", "t")
-        linked = Written(linked.unionByName(checked(pairs, sets, percent)), "similar-links").df
-        found = Written(connected_components(linked), "similar-found").df
-        if last:
+    while True:
+        tagged = rows.join(found.df.withColumnRenamed("node", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
+        groups = tagged.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
+        todo = Written(groups.select("s", (F.col("n") <= (SMALL if turn else 2)).alias("small")), "similar-todo")
+        drop.append(todo)
+        if todo.df.isEmpty():
             break
+        open_ = Written(tagged.join(todo.df, "s"), "similar-open")
+        x, y = (open_.df.where("small").select("s", F.col("t").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        pairs = x.join(y, "s").where("a < b and ca <> cb").select("a", "b")
+        large = open_.df.where("not small")
+        first = [F.min(F.struct(F.xxhash64("t", F.lit(100 * turn + k)).alias("o"), F.col("t").alias("pivot"), F.col("component").alias("cp"))) for k in range(PIVOTS if turn else 1)]
+        pivots = large.groupBy("s").agg(F.array_distinct(F.array(*[F.struct(p.getField("pivot").alias("pivot"), p.getField("cp").alias("cp")) for p in first])).alias("ps"))
+        pivots = Written(pivots, "similar-pivots")
+        against = large.join(pivots.df, "s")
+        met = against.select("t", "component", F.explode("ps").alias("p")).where("component <> p.cp")
+        pairs = pairs.unionByName(met.select(F.least("t", "p.pivot").alias("a"), F.greatest("t", "p.pivot").alias("b"))).distinct()
+        following = Written(against.where(~F.exists("ps", lambda p: p["pivot"] == F.col("t"))).select("s", "t"), "similar-members")
+        rows = following.df
+        linked = Written(linked.df.unionByName(checked(pairs, sets.df, percent)), "similar-links")
+        found = Written(connected_components(linked.df), "similar-found")
+        drop += [open_, pivots, following]
         turn += 1
-    return found
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stand for their group: the first by (doc_id, text hash), nulls last; all columns are kept."""
-    # a null text is an empty one
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = links(docs.select(F.xxhash64(text).alias("t"), text.alias("text")), words, percent)
-    row = F.struct(F.col(id_col).isNull().alias("i"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
-    least = docs.select(row.alias("row")).groupBy(F.col("row.h").alias("node")).agg(F.min("row").alias("row"))
-    first = least.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("row").alias("row"))
-    chosen = Written(first.select(F.struct("row.*").alias("__row")), "similar-chosen").df
-    kept = docs.withColumn("__row", row).join(chosen, "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).drop("__row")
+    for table in drop + [sets]:
+        table.drop()
+    return found.df

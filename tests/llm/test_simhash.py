@@ -87,12 +87,3 @@ def test_hard_rows(spark, docs, hard, clash):
     assert simhash.near_duplicates(docs([])).count() == 0
     only = simhash.near_duplicates(docs([(None, "a b c d")])).toPandas()
     assert only.component_id.isna().all()
-
-
-def test_keep_one_row_of_a_group(docs, hard, clash):
-    table = docs(hard + [(9, "one two three four five six seven eight nine ten eleven twelve", "z")], clash)
-    got = simhash.keep_one(table)
-    rows = got.toPandas()
-    assert got.columns == table.columns
-    assert sorted(rows.doc_id.dropna()) == [1, 2, 5, 6, 7] and rows.doc_id.isna().sum() == 1
-    assert simhash.keep_one(docs([])).count() == 0

@@ -3,7 +3,7 @@
 import corpus_pipeline
 import numpy as np
 
-from rasterloom.llm import similar
+from rasterloom.llm import simhash, similar
 
 
 def brute_keep(rows, words=5):
@@ -63,19 +63,32 @@ def test_stage_keeps_one_of_every_similar_group(docs, spark):
     assert sorted(r["doc_id"] for r in got.collect()) == brute_keep(rows)
 
 
-def test_a_round_of_pivots(docs, monkeypatch):
-    """Nothing is lost where groups are compared with one of them first, and no shingle is put last."""
+def test_rounds_of_pivots(docs, monkeypatch):
+    """Nothing is lost where large groups are compared with a few of their texts a round, and no shingle is put last."""
     rows = sorted(near_copies())[:120]
-    monkeypatch.setattr(similar, "FEW", 0)
-    monkeypatch.setattr(similar, "ROUNDS", 1)
+    monkeypatch.setattr(similar, "SMALL", 3)
+    monkeypatch.setattr(similar, "PIVOTS", 8)
     monkeypatch.setattr(similar, "OFTEN", 10**9)
-    assert sorted(r["doc_id"] for r in similar.keep_one(docs(rows)).collect()) == brute_keep(rows)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect()) == brute_keep(rows)
+
+
+def test_proposed_links_are_checked(spark, docs):
+    """Fingerprints of fewer bits propose texts that aren't alike; the whole sets decide."""
+    rows = near_copies()[:100]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(rows), errors=12).collect()) == brute_keep(rows)
+
+
+def test_rows_that_agree_in_id_and_text(docs):
+    """Which row stays doesn't depend on the order of rows; rows equal in all columns are one."""
+    table = docs([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "x"), (2, "other words here and there now", "z"), (2, "other words here and there now", "z")])
+    got = [sorted(map(tuple, simhash.keep_one(t).collect())) for t in (table, table.orderBy("source"), table.orderBy("source", ascending=False).repartition(3))]
+    assert got[0] == got[1] == got[2] and [r[0] for r in got[0]] == [1, 2]
 
 
 def test_hard_rows(docs, hard, clash):
     table = docs(hard, clash)
-    got = similar.keep_one(table)
+    got = simhash.keep_one(table)
     assert got.columns == table.columns
     kept = got.toPandas()
     assert len(kept) == 6 and set(kept.doc_id.dropna()) == {1, 2, 5, 6, 7} and kept.doc_id.isna().sum() == 1
-    assert similar.keep_one(docs([])).count() == 0
+    assert simhash.keep_one(docs([])).count() == 0
