@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import line_dedup, mixing, packing, quality_rules, similar
+from rasterloom.llm import line_dedup, mixing, packing, quality_rules, simhash
 from rasterloom.llm.queries import tokenizer, trusted
 from rasterloom.plans.scale import Written
 
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_one(docs, words=5, percent=80)
+    return simhash.keep_one(docs, errors=3, words=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
