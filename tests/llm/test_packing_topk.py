@@ -18,6 +18,22 @@ def test_ids_are_the_json_tokenizers():
         assert own.encode_to_numpy(text, allowed_special="all").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_long_white_space_runs():
+    """Runs that the pattern matcher gives up on, alone and before, between and behind words."""
+    t, own = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    run = " " * 1_000_000
+    with pytest.raises(ValueError):
+        own.encode_to_numpy(run)
+    for text in (run, "\n" * 1_000_001, "a" + run + "word" + run, run + "'s x", "x\u3000" + run[:-3] + "\x1c" + "\t" * 5000 + "7" + run + "\r\n!"):
+        assert packing.encode(text, PATH).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_very_long_texts():
+    for c, n in ((" ", 2_500_000), ("\n", 2_500_000), ("x", 10_000_000), ("a ", 5_000_000)):
+        assert len(packing.encode(c * n, PATH)) >= len(c) * n / 100
+    assert packing.encode(" " * 10_000_000, PATH).tolist() == [220] * 10_000_000
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sequences_are_full_and_exact(seed):
     rng = np.random.default_rng(seed)
