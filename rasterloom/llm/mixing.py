@@ -12,7 +12,9 @@ that no longer fits is passed over, and the next rounds go on with those that do
 the boundary if that comes nearer.
 
 Ranks are never sorted whole: words are summed per rank bucket, running sums find the bucket in which the target falls,
-and only that bucket's documents are ordered. Equal rows are one key with a count, so a hot group of them is one row.
+that bucket is cut into finer ones until few enough rows are left, and only those are ordered. Rows that agree in source,
+doc_id and text are one key with a count, so a hot group of them is one row; in `mix` each of them is copied as often as
+its key is taken, and where one more copy goes to some of them only, to the first by a hash of all columns.
 
 Defined results: null texts have size 0; documents of size 0 are taken 0 times; a null source is a source; repeated rows
 are rows; an empty table gives an empty table.
@@ -23,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.llm.ranks import repeated, running_start
 from rasterloom.llm.text import n_words, uniform
 from rasterloom.plans.scale import Written, broadcast_if_small, written
 
@@ -58,7 +61,32 @@ def measure(size_class: Column) -> Column:
     return F.lit(1.0) + size_class / F.lit(16.0)
 
 
-def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 1, rounds: int = 4, buckets: int = 1024) -> DataFrame:
+def boundary(joined: DataFrame, buckets: int, most: int) -> DataFrame:
+    """joined (source, rank, size, rows, left, open) with `start`, words of earlier ranks, and `whole_bucket`: true where the row's
+    bucket lies below the source's `left`, false in the bucket in which it falls, null beyond and where a row isn't open.
+
+    That bucket is cut into `buckets` finer ones until no source has more than `most` rows in it.
+    """
+    marked = written(joined.withColumns({"start": F.lit(0).cast("long"), "whole_bucket": F.when(F.col("open"), F.lit(False))}), "mix-open")
+    scale = buckets
+    while True:
+        falls = F.col("whole_bucket").isNotNull() & ~F.col("whole_bucket")
+        bucket = F.least(F.floor(F.col("rank") * scale), F.lit(scale - 1))
+        sums = marked.where(falls).groupBy("source", bucket.alias("bucket"), "left", "start").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.count("*").alias("n"))
+        w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.withColumn("upto", F.col("start") + F.sum("words").over(w)).withColumn("from", F.col("upto") - F.col("words"))
+        meets = sums.where(F.col("from") <= F.col("left")).select(F.col("source").alias("s"), F.col("bucket").alias("k"), "from", (F.col("upto") <= F.col("left")).alias("below"), "n")
+        meets = written(meets, "mix-meets")
+        marked = marked.join(broadcast_if_small(meets.drop("n")), falls & F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("k")), "left")
+        marked = marked.withColumns({"start": F.coalesce("from", "start"), "whole_bucket": F.when(falls, F.col("below")).otherwise(F.col("whole_bucket"))}).drop("s", "k", "from", "below")
+        largest = meets.where("not below").agg(F.max("n")).first()[0]
+        if largest is None or largest <= most or scale >= 1 << 50:
+            return marked
+        marked = written(marked, "mix-open")
+        scale *= buckets
+
+
+def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 1, rounds: int = 4, buckets: int = 1024, most: int = 1 << 16) -> DataFrame:
     """One row per different (source, doc_id, text): size, rows (how many such rows), source_size, target, whole (certain
     copies of each), more (how many of the rows get one more copy). Column __h is the text's hash."""
     sized = docs.select("source", "doc_id", F.xxhash64("text").alias("__h"), n_words(F.col("text")).alias("size"))
@@ -79,7 +107,6 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 1, r
         keys.join(broadcast_if_small(renamed), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k"))).drop("s", "k")
         .withColumn("u", uniform(F.col("doc_id"), F.col("__h"), F.col("source"), F.lit(seed)))
         .withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)))
-        .withColumn("bucket", F.least(F.floor(F.col("rank") * buckets), F.lit(buckets - 1)).cast("int"))
         .withColumn("more", F.lit(0).cast("long"))
     )
     state = Written(ranked.drop("u", "class"), "mix-state")
@@ -90,12 +117,8 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 1, r
         # documents not yet taken that fit by themselves; in the last round also those that nearly do
         fits = F.col("size") * F.lit(1.0 if n < rounds - 1 else 0.5) <= F.col("left")
         joined = now.join(broadcast_if_small(left), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        joined = written(joined.withColumn("open", F.col("rank").isNotNull() & (F.col("more") == 0) & (F.col("size") > 0) & fits), "mix-open")
-        sums = joined.where("open").groupBy("source", "bucket", "left").agg(F.sum(F.col("size") * F.col("rows")).alias("words"))
-        w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = sums.withColumn("upto", F.sum("words").over(w)).withColumn("start", F.col("upto") - F.col("words"))
-        meets = sums.where("start <= left").select(F.col("source").alias("s"), F.col("bucket").alias("k"), "start", (F.col("upto") <= F.col("left")).alias("whole_bucket"))
-        marked = joined.join(broadcast_if_small(meets), F.col("open") & F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")), "left")
+        joined = joined.withColumn("open", F.col("rank").isNotNull() & (F.col("more") == 0) & (F.col("size") > 0) & fits)
+        marked = boundary(joined, buckets, most)
         # only the bucket in which the target falls is put in order
         last = F.col("whole_bucket").isNotNull() & ~F.col("whole_bucket")
         inside = marked.where(last)
@@ -114,24 +137,25 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 1, r
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source): one row per row of docs; taken is the words that the mix takes of it."""
-    p = plan(docs, **options)
-    chunk = 10_000
-    rows = p.withColumn("__c", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / chunk).cast("int"))))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.col("__c") * chunk + 1, F.least(F.col("rows"), (F.col("__c") + 1) * F.lit(chunk).cast("long")))))
+    rows = repeated(plan(docs, **options), "rows", "i")
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + (F.col("i") <= F.col("more")).cast("long"))).alias("taken"), "source")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: each row of docs as often as the mix takes it; a row that is taken once keeps its place among others."""
     p = plan(docs, **options)
-    copies = p.select(
-        F.struct(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("__h").alias("h")).alias("__key"),
-        (F.col("rows") * F.col("whole") + F.col("more")).alias("__copies"),
-    ).where("__copies > 0")
-    copies = written(copies, "mix-copies")
+    key = F.struct(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("__h").alias("h")).alias("__key")
+    copies = written(p.select(key, (F.col("whole") + (F.col("more") == F.col("rows")).cast("long")).alias("__copies")).where("__copies > 0"), "mix-copies")
     keyed = docs.withColumn("__key", F.struct(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")))
-    one = keyed.join(copies, "__key")
-    repeated = p.where("rows > 1").select(F.struct(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("__h").alias("h")).alias("__key"))
-    if not repeated.isEmpty():  # equal rows stand once here, as their copies are counted together
-        one = one.dropDuplicates(["__key"])
-    return one.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__key", "__copies", "__i")
+    out = keyed.join(copies, "__key").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    # keys of which some rows get one more copy and others don't: one per source and round at most
+    partial = written(p.where("more > 0 and more < rows").select(key, "more"), "mix-partial")
+    if partial.isEmpty():
+        return out
+    columns = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    equal = keyed.withColumn("__row", F.xxhash64(*columns)).join(broadcast_if_small(partial), "__key")
+    equal = written(equal.groupBy("__key", "more", "__row").agg(F.count("*").alias("__rows"), F.first(F.struct(*docs.columns)).alias("__one")), "mix-equal")
+    started = running_start(equal.drop("__one"), ["__key"], ["__row"], "__rows")
+    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("__rows"), F.col("more") - F.col("__start"))).alias("__extra")
+    chosen = written(started.select("__key", "__row", extra).where("__extra > 0").join(equal.select("__key", "__row", "__one"), ["__key", "__row"]), "mix-extra")
+    return out.unionByName(repeated(chosen, "__extra", "__i").select("__one.*"))
