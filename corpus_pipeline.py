@@ -1,7 +1,7 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that the next one reads; run() writes every stage's rows as
-Parquet below spark.checkpoint.dir and reads them again. The last stage returns packed pieces, all others the columns of docs.
+Parquet below spark.checkpoint.dir and reads them again. The last stage returns packed pieces with their token ids, all others the columns of docs.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer(), length=SEQUENCE)
+    return packing.pack(docs, tokenizer(), length=SEQUENCE, with_ids=True)
 
 
 STAGES = [
