@@ -97,7 +97,7 @@ def test_topk_is_brute_force(spark, small):
 def test_topk_hot_codes_and_ties(spark):
     rng = np.random.default_rng(2)
     codes = [5] * 300 + [7] * 40 + rng.integers(0, 1 << 62, 200).tolist()
-    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "id long, code long")
+    rows = spark.createDataFrame([(i, [int(c)]) for i, c in enumerate(codes)], "id long, code array<long>")
     for m in (3, 4, 8):
         got = topk.search(rows.where("id % 50 = 0"), rows, 10, m).toPandas()
         for q in range(0, len(codes), 50):
@@ -110,5 +110,18 @@ def test_topk_hard_rows(spark):
     schema = "vec_id long, embedding array<float>, code int, id int"
     rows = [(0, [1.0] * 64, 1, 1), (0, [1.0] * 64, 1, 1), (1, None, 1, 1), (None, [1.0] * 64, 1, 1), (2, [float("nan"), None] + [1.0] * 62, 1, 1), (3, [1.0] * 3, 1, 1), (4, [1.0] * 70, 1, 1)]
     got = topk.self_search(spark.createDataFrame(rows, schema), k=3).toPandas()
-    assert list(zip(got.sort_values("rank").neighbor_id, got.sort_values("rank").distance)) == [(4, 0), (2, 2), (3, 61)]
+    assert list(zip(got.sort_values("rank").neighbor_id, got.sort_values("rank").distance)) == [(2, 2), (4, 6), (3, 61)]
     assert topk.self_search(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_topk_uses_every_value(spark):
+    """Vectors of 200 values that agree in the first 64: brute force over all signs."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=200)
+    vectors = [np.where(np.arange(200) < 64, centre, centre + rng.normal(size=200) * 2) for _ in range(300)]
+    got = topk.self_search(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).toPandas()
+    signs = np.array([v > 0 for v in vectors])
+    for q in range(0, 300, 50):
+        d = sorted((int((signs[q] != s).sum()), i) for i, s in enumerate(signs) if i != q)[:10]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(zip(mine.distance, mine.neighbor_id)) == d
