@@ -9,8 +9,8 @@ The model is fitted on the driver on at most `sample` labelled rows, the first b
 kB. Scoring is one scan without a shuffle; weights of words are cached per task in a table that is emptied when it is full.
 
 Defined results: a null text is empty; an empty text has the whole-text features only; rows without a grade aren't fitted;
-without any graded row the score is 0 and each grade as likely; repeated rows and null ids are scored like others; an empty
-table gives an empty table; further columns are ignored.
+of several grades of a document the lowest counts; without any graded row the score is 0 and each grade as likely; repeated
+rows and null ids are scored like others; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def fit(ids: np.ndarray, values: np.ndarray, rows: np.ndarray, grades: np.ndarra
 
 def train(docs: DataFrame, graded: DataFrame, levels: int = 3, sample: int = 6000) -> Model:
     """graded: (doc_id, grade). Uses at most `sample` graded documents, the first by a hash of doc_id."""
-    chosen = graded.where("doc_id is not null and grade is not null").dropDuplicates(["doc_id"])
+    chosen = graded.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounds what is broadcast and collected
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

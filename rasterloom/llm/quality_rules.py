@@ -1,9 +1,10 @@
 """Quality rules by a hashed n-gram log-likelihood ratio, native throughout.
 
 Lower-cased words and word pairs of every whole text are hashed into 10,000 buckets. Two multinomials are counted over
-them: one over all documents (the raw corpus), one over the documents that are labelled good (the trusted target). A
-document's score is the sum of log(target / raw) over its n-grams divided by their number plus `prior`, which draws
-short texts towards 0. A document is kept if it passes the base rules and its score reaches the threshold.
+them: one over all documents (the raw corpus), one over documents that are labelled good (the trusted target): all of those
+up to `sample`, else about so many, chosen by a hash of their ids, which are broadcast. A document's score is the sum of
+log(target / raw) over its n-grams divided by their number plus `prior`, which draws short texts towards 0. A document is
+kept if it passes the base rules and its score reaches the threshold.
 
 Counting is one pass with map-side combining into at most 10,000 rows, which are all that reaches the driver. They go
 back as one literal array, so scoring and filtering are a scan without any shuffle.
@@ -20,12 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.text import SPACES, SPACE_RUN, words
-from rasterloom.plans.scale import broadcast_if_small
+from rasterloom.llm.text import SPACES, SPACE_RUN, bounded, words
 
 BUCKETS = 10_000
 THRESHOLD = -0.07
 PRIOR = 10.0
+#: Good documents that the target is counted over.
+SAMPLE = 200_000
 #: Symbols that the base rules count.
 SYMBOLS = "#*$%&|<>"
 
@@ -93,10 +95,10 @@ def gram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     return let(F.transform(tokens, lambda w: F.xxhash64(w)), both)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """log(target / raw) by bucket. trusted: one column doc_id of the good documents."""
-    good = trusted.where("doc_id is not null").distinct().select(F.col("doc_id").alias("__id"), F.lit(1).alias("__good"))
-    marked = docs.select("doc_id", "text").join(broadcast_if_small(good, 1_000_000), F.col("doc_id") == F.col("__id"), "left")
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE) -> list[float]:
+    """log(target / raw) by bucket. trusted: one column doc_id of the good documents; about `sample` of them are counted if there are more."""
+    good = bounded(trusted.where("doc_id is not null").distinct(), sample).select(F.col("doc_id").alias("__id"), F.lit(1).alias("__good"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("__id"), "left")
     grams = marked.select(F.coalesce("__good", F.lit(0)).alias("good"), F.explode(gram_buckets(F.col("text"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()  # at most `buckets` rows
     raw, target = [0] * buckets, [0] * buckets
@@ -114,9 +116,9 @@ def llr_score(text: Column, ratios: list[float], prior: float = PRIOR) -> Column
     return let(gram_buckets(text, len(ratios)), lambda g: total(g) / (F.size(g) + F.lit(prior)))
 
 
-def annotate(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+def annotate(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, prior: float = PRIOR, sample: int = SAMPLE) -> DataFrame:
     """docs with the base columns, base_failed, score and kept."""
-    ratios = log_ratios(docs, trusted, buckets)
+    ratios = log_ratios(docs, trusted, buckets, sample)
     out = docs.withColumn("__words", words(F.col("text")))
     out = out.withColumns(base_columns(F.col("text")) | {"score": llr_score(F.col("text"), ratios, prior)}).drop("__words")
     failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))

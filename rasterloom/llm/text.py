@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space, and its runs.
@@ -24,3 +24,9 @@ def n_words(text: Column) -> Column:
 def uniform(*of: Column) -> Column:
     """A double in (0, 1) that depends on the columns alone."""
     return (F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+
+
+def bounded(rows: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
+    """All rows if there are at most n, else about n of them, chosen by a hash of their ids. rows are counted."""
+    total = rows.count()
+    return rows if total <= n else rows.where(uniform(F.col(id_col), F.lit("sample")) < n / total)
