@@ -1,21 +1,25 @@
 """Toxicity of noisy text: Viterbi decoding of character lattices under a character language model, then scoring.
 
 1. Language model: word counts over all documents (each task combines its own), then counts of character 1- to 4-grams of
-   the different words, weighted by their counts and hashed into 2^18 buckets, which bound what reaches the driver.
+   the different words, weighted by their counts. The different n-grams are counted, and the model has four hash buckets
+   for each, 2^18 to 2^22, which bound what reaches the driver.
 2. Noisy channel: a token with digits or signs among its letters, or with a character three times running, and letters
    that stand alone one after another, form a lattice: a sign may stand for each letter it resembles, a repeated
-   character may be one, a separator may be a word's end or nothing; at a token's ends, a sign may be punctuation. Viterbi finds the likeliest text under model and
-   channel. Tokens without noise have one path and stay as they are. Decoded tokens are cached per task, up to a bound.
+   character may be one, a separator may be a word's end or nothing; at a token's ends, a sign may be punctuation. Viterbi
+   finds the likeliest text under model and channel, for tokens of any length: what lies more than LAG characters back is
+   settled by the best path so far. One or two characters repeated more than four times running count as four times.
+   Tokens without noise have one path and stay as they are. Decoded tokens are cached per task, up to a bound.
 3. Lexicon: for restored words and their beginnings (3 to 9 bytes), in how many toxic and other labelled documents they
-   are found; the lower confidence bound of the log ratio counts if it is above 0. Counts are over all labelled documents
-   of the two training folds, hashed into 2^20 buckets.
+   are found; the lower confidence bound of the log ratio counts if it is above 0. Counts are over the labelled documents
+   of the two training folds, all of them up to `labelled`, else about so many, chosen by a hash of their ids, whose ids
+   are broadcast; they are hashed into 2^20 buckets.
 4. A document's score is the larger of two logistic regressions, on all its large word scores and on the largest alone
    (so that a short text's one sure word isn't outvoted), fitted on at most `sample` labelled documents
    of the second training fold, with a lexicon of the first; documents are scored with the lexicon of both.
 
 Labels are used only from rows whose crc32(doc_id as text) mod 3 isn't 1: remainder 0 is the first fold, 2 the
 second. Defined results: a null text is empty and scores as a text without lexicon words; a null id isn't held out
-and never learnt from; without labels of both kinds every score is 0; repeated rows are scored like others; an empty
+and never learnt from; a document with several labels is toxic if one says so; without labels of both kinds every score is 0; repeated rows are scored like others; an empty
 table gives an empty table; further columns are ignored.
 """
 
@@ -33,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.plans.scale import broadcast_if_small
+from rasterloom.llm.text import bounded
+from rasterloom.plans.scale import Written
 
-GRAM_BUCKETS = 1 << 18
+GRAM_BITS = (18, 22)
 WORD_BUCKETS = 1 << 20
 ORDER = 4
-CACHE = 1 << 20
+#: Entries of a cache, and characters behind the current one after which Viterbi settles.
+CACHE, LAG = 1 << 18, 64
 FLUSH = 400_000
 TOP = (1, 2, 3, 5, 10)
 KNEES = (2.0, 4.0, 6.0)
@@ -60,45 +66,52 @@ AS_IS, LOOKALIKE, REPEATED = math.log(0.9), math.log(0.3), math.log(0.2)
 GAPS = {False: (math.log(0.95), math.log(0.05)), True: (math.log(0.3), math.log(0.7))}
 ALONE = re.compile(r"(?<!\w)(?:\w[ .\-_*~·]){2,}\w(?!\w)")
 RUN = re.compile(r"(.)\1\1")
+AGAIN = re.compile(r"(..?)\1{4,}", re.S)
 #: The same sign three times or more at an end of a token is decoration: no letter stands there so often.
 DECORATION = re.compile(r"^(\W)\1{2,}|(\W)\2{2,}$")
 
 
-def gram_bucket(gram: str) -> int:
+def gram_hash(gram: str) -> int:
     h = 0
     for c in gram:
         h = (h * 1_000_003 ^ ord(c)) & 0xFFFFFFFF
-    return (h * 2_654_435_761 & 0xFFFFFFFF) >> 14
+    return h * 2_654_435_761 & 0xFFFFFFFF
 
 
-def gram_buckets(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """Counts by bucket of the 1- to 4-grams of ^word$, each word as often as counts says, and the number of characters."""
+def gram_counts(words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Different 32-bit hashes of the 1- to 4-grams of ^word$ and their counts, each word as often as counts says, and the number of characters."""
     length = np.array([len(w) + 2 for w in words], np.int64)
     letters = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     place = np.arange(len(letters)) - np.repeat(np.cumsum(length) - length, length)
     weight = np.repeat(counts.astype(float), length)
-    total = np.zeros(GRAM_BUCKETS)
+    found, weights = [], []
     h = np.zeros(len(letters), np.uint64)
     for k in range(ORDER):  # h: hashes of the k characters up to and with the one before
         h = (h * np.uint64(1_000_003) ^ letters) & np.uint64(0xFFFFFFFF)
         inside = place >= k
-        total += np.bincount(((h * np.uint64(2_654_435_761) & np.uint64(0xFFFFFFFF)) >> np.uint64(14))[inside].astype(np.int64), weight[inside], minlength=GRAM_BUCKETS)
+        found.append((h * np.uint64(2_654_435_761) & np.uint64(0xFFFFFFFF))[inside].astype(np.int64))
+        weights.append(weight[inside])
         h = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
-    return total, float((counts * (length - 1)).sum())
+    hashes, of = np.unique(np.concatenate(found), return_inverse=True)
+    return hashes, np.bincount(of, np.concatenate(weights), minlength=len(hashes)), float((counts * (length - 1)).sum())
 
 
 class CharModel:
-    """Interpolated character n-grams; ^ starts and $ ends a word."""
+    """Interpolated character n-grams; ^ starts and $ ends a word. counts: by the upper bits of the hash, 2^k of them."""
 
     def __init__(self, counts: np.ndarray, total: float):
         self.counts, self.total = counts, max(1.0, total)
+        self.shift = 32 - (len(counts).bit_length() - 1)
         self.known: dict[tuple[str, str], float] = {}
 
+    def count(self, gram: str) -> float:
+        return float(self.counts[gram_hash(gram) >> self.shift])
+
     def prob(self, context: str, c: str) -> float:
-        p = (float(self.counts[gram_bucket(c)]) + 0.05) / (self.total + 10)
+        p = (self.count(c) + 0.05) / (self.total + 10)
         for k in range(1, len(context) + 1):
             h = context[-k:]
-            p = (float(self.counts[gram_bucket(h + c)]) + 5 * p) / (float(self.counts[gram_bucket(h)]) + 5)
+            p = (self.count(h + c) + 5 * p) / (self.count(h) + 5)
         return p
 
     def log(self, context: str, c: str) -> float:
@@ -110,10 +123,12 @@ class CharModel:
         return got
 
 
-def decode(observed: str, model: CharModel, beam: int = 64) -> str:
-    """The likeliest text behind an observed one; beam bounds the states of a step, by likelihood."""
-    states: dict[tuple[str, str], tuple[float, str]] = {("^", ""): (0.0, "")}  # (context, last observed) -> (log p, text)
+def decode(observed: str, model: CharModel, lag: int = LAG) -> str:
+    """The likeliest text behind an observed one."""
+    observed = AGAIN.sub(r"\1\1\1\1", observed)
+    states: dict[tuple[str, str], tuple[float, str]] = {("^", ""): (0.0, "")}  # (context, last observed) -> (log p, text not yet settled)
     head, tail = len(observed) - len(observed.lstrip(STRIP)), len(observed.rstrip(STRIP))
+    settled: list[str] = []
     for at, c in enumerate(observed):
         following: dict[tuple[str, str], tuple[float, str]] = {}
 
@@ -139,23 +154,22 @@ def decode(observed: str, model: CharModel, beam: int = 64) -> str:
                 put(context + c, p + AS_IS + model.log(context, c), text + c)
             if last and text and (c == last or text[-1] == c):
                 put(context, p + REPEATED, text)
-        states = dict(sorted(following.items(), key=lambda x: -x[1][0])[:beam])
+        states = following
+        if at % lag == lag - 1 and states:  # paths that disagree with the best one so far back go
+            best = max(states.values())[1][:-lag]
+            if best:
+                settled.append(best)
+                states = {k: (p, text[len(best) :]) for k, (p, text) in states.items() if text.startswith(best)}
     ends = [(p + model.log(context, "$"), text) for (context, _), (p, text) in states.items()]
-    return max(ends)[1] if ends else ""
+    return "".join(settled) + max(ends)[1] if ends else ""
 
 
-class Restored(dict):
-    """Restored words by lower-cased token."""
+class Restored:
+    """Restored words of lower-cased tokens."""
 
     def __init__(self, model: CharModel):
         self.model = model
 
-    def __missing__(self, token: str) -> tuple[str, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        got = self[token] = self.restore(token)
-        return got
-
     def restore(self, token: str) -> tuple[str, ...]:
         if token.isalpha() and not RUN.search(token):
             return (token,)
@@ -164,8 +178,6 @@ class Restored(dict):
             return ()
         if bare.isalpha() and not RUN.search(bare):
             return (bare,)
-        if len(bare) > 40:  # one step per character: long tokens are cut, and every part is decoded
-            return tuple(w for i in range(0, len(bare), 40) for w in self.restore(bare[i : i + 40]))
         return tuple(decode(bare, self.model).split())
 
 
@@ -173,11 +185,13 @@ _kept: dict[str, object] = {}
 
 
 def kept(run: str, name: str, make):
-    """An object of one scoring run that the tasks of a Python worker share, so that its cache outlives a task."""
+    """The model, or a cache, of one scoring run that the tasks of a Python worker share; a worker holds one cache at a time."""
     if _kept.get("run") != run:
         _kept.clear()
         _kept["run"] = run
     if name not in _kept:
+        for other in set(_kept) - {"run", "model"}:
+            del _kept[other]
         _kept[name] = make()
     return _kept[name]
 
@@ -188,15 +202,8 @@ def tokens_of(low: str) -> list[str]:
 
 
 def lonely(low: str, model: CharModel) -> list[str]:
-    """Words behind letters that stand alone one after another; long chains are decoded in parts."""
-    return [w for m in ALONE.finditer(low) for i in range(m.start(), m.end(), 60) for w in decode(low[i : min(m.end(), i + 60)], model).split()]
-
-
-def restored_words(text: str, cache: Restored) -> set[str]:
-    low = text.lower()
-    words = {w for t in set(tokens_of(low)) for w in cache[t]}
-    words.update(lonely(low, cache.model))
-    return words
+    """Words behind letters that stand alone one after another."""
+    return [w for m in ALONE.finditer(low) for w in decode(m[0], model).split()]
 
 
 def word_features(word: str) -> list[int]:
@@ -211,6 +218,25 @@ def word_features(word: str) -> list[int]:
     return found
 
 
+class TokenFeatures(dict):
+    """The buckets of a token's restored words."""
+
+    def __init__(self, words: Restored):
+        self.words = words
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= CACHE:
+            self.clear()
+        got = self[token] = tuple({b for w in self.words.restore(token) for b in word_features(w)})
+        return got
+
+    def of_text(self, text: str) -> set[int]:
+        low = text.lower()
+        found = set().union(*map(self.__getitem__, set(tokens_of(low))))
+        found.update(b for w in lonely(low, self.words.model) for b in word_features(w))
+        return found
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): lower-cased words of letters over all documents."""
 
@@ -236,18 +262,19 @@ def char_model(docs: DataFrame) -> tuple[np.ndarray, float]:
     """Hashed n-gram counts and the number of characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(GRAM_BUCKETS + 1)
         for batch in batches:
-            grams, characters = gram_buckets(batch.column(0).to_pylist(), batch.column(1).to_numpy())
-            total[:-1] += grams
-            total[-1] += characters
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], names=["bucket", "n"])
+            hashes, counts, characters = gram_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes, -1)), pa.array(np.append(counts, characters))], names=["h", "n"])
 
-    got = word_counts(docs).mapInArrow(run, "bucket long, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(GRAM_BUCKETS + 1, np.float32)  # at most 2^18 + 1 rows come
-    counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return counts[:-1], float(counts[-1])
+    grams = Written(word_counts(docs).mapInArrow(run, "h long, n double").groupBy("h").agg(F.sum("n").alias("n")), "char-grams")
+    low, high = GRAM_BITS
+    bits = min(high, max(low, (4 * grams.df.count()).bit_length()))
+    got = grams.df.groupBy(F.when(F.col("h") < 0, F.lit(-1)).otherwise(F.shiftright("h", 32 - bits)).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    grams.drop()
+    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()  # at most 2^bits + 1 rows
+    counts = np.zeros(1 << bits, np.float32)
+    counts[bucket[bucket >= 0]] = n[bucket >= 0]
+    return counts, float(n[bucket < 0].sum())
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -258,11 +285,11 @@ def lexicon_counts(labelled: DataFrame, shared, tag: str) -> dict[str, np.ndarra
     """Documents by bucket, fold (0 or 2) and label, from rows (text, toxic, fold); bucket 2^20 counts all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = kept(tag, "words", lambda: Restored(CharModel(*shared.value)))
+        features = kept(tag, "features", lambda: TokenFeatures(kept(tag, "model", lambda: Restored(CharModel(*shared.value)))))
         counts = np.zeros((4, WORD_BUCKETS + 1), np.int64)
         for batch in batches:
             for text, toxic, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = {b for w in restored_words(text.as_py() or "", cache) for b in word_features(w)}
+                found = features.of_text(text.as_py() or "")
                 counts[int(part) + int(toxic == 1), list(found) + [WORD_BUCKETS]] += 1
         hit = np.flatnonzero(counts.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), *(pa.array(c[hit]) for c in counts)], names=["bucket", *KINDS])
@@ -328,15 +355,15 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 50) ->
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 20_000) -> DataFrame:
-    """(doc_id, held_out, score, predicted). labels: (doc_id, toxic); held-out rows of it are never read."""
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 20_000, labelled: int = 200_000) -> DataFrame:
+    """(doc_id, held_out, score, predicted). labels: (doc_id, toxic); held-out rows of it are never learnt from."""
     context = docs.sparkSession.sparkContext
     model = context.broadcast(char_model(docs))
-    learn = labels.where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"]).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(fold() != 1)
+    known = labels.where("doc_id is not null and toxic is not null").where(fold() != 1).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    learn = bounded(known, labelled)
     texts = docs.select("doc_id", "text")
-    labelled = texts.join(broadcast_if_small(learn, 1_000_000), "doc_id").select("text", "toxic", fold().alias("fold"))
     tag = uuid.uuid4().hex
-    n = lexicon_counts(labelled, model, tag)
+    n = lexicon_counts(texts.join(F.broadcast(learn), "doc_id").select("text", "toxic", fold().alias("fold")), model, tag)
     first = context.broadcast(lexicon(n["bucket"], n["clean0"], n["toxic0"]))
     both = context.broadcast(lexicon(n["bucket"], n["clean0"] + n["clean2"], n["toxic0"] + n["toxic2"]))
 
@@ -344,7 +371,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
         return np.array([summary(t.as_py() or "", tokens) for t in batch.column(0)]).reshape(-1, INPUTS)
 
     def tokens_now(words, name: str) -> TokenScores:
-        restored = kept(tag, "words", lambda: Restored(CharModel(*model.value)))
+        restored = kept(tag, "model", lambda: Restored(CharModel(*model.value)))
         return kept(tag, name, lambda: TokenScores(restored, dict(zip(*(x.tolist() for x in words.value)))))
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,6 +44,11 @@ def test_license_places(spark, small, docs, hard, clash):
         ("MIT GPL-3.0", ["mit"], 1),
         ("", [], None),
         (") AND MIT", [], None),
+        ("see LICENSE file", [], None),
+        ("MIT and other text here", ["mit"], 1),
+        ("MIT OR (unknown AND GPL-3.0)", ["mit"], 1),
+        ("GPL-2.0 WITH something", ["gpl-2"], 3),
+        ("mit AND LicenseRef-Mine", ["mit", "licenseref-mine"], 3),
     ],
 )
 def test_license_expressions(expression, labels, least):
@@ -51,8 +56,33 @@ def test_license_expressions(expression, labels, least):
 
 
 def test_license_tag(docs):
-    got = licenses.scan_licenses(docs([(1, "code\n// SPDX-License-Identifier: MIT OR Apache-2.0\nGPL-3.0 below"), (2, "spdx license")])).toPandas().set_index("doc_id")
-    assert got.labels.tolist() == ["apache-2,mit", ""] and got.score[1] > 0.99 and got.score[2] == 0
+    got = licenses.scan_licenses(docs([(1, "code\n// SPDX-License-Identifier: MIT OR Apache-2.0\nGPL-3.0 below"), (2, "spdx license"), (3, "SPDX-License-Identifier: see the file"), (4, "xspdx license identifier: MIT"), (5, "SPDX-License-Identifier:\nMIT")])).toPandas().set_index("doc_id")
+    assert got.labels.tolist() == ["apache-2,mit", "", "", "", ""] and got.score[1] > 0.99 and got.score[2] == 0
+
+
+def brute_labels(text):
+    """All labels: every phrase looked for by itself, tags by lines."""
+    words = LICENSE_WORD.findall((text or "").translate(LOWER))
+    phrases = licenses.BASE | licenses.NOTICES
+    line = " " + " ".join(words) + " "
+    found = {x for p, x in phrases.items() if f" {p} " in line}
+    for row in (text or "").split("\n"):
+        for m in re.finditer(r"(?<![a-z0-9])spdx-license-identifier(?![a-z0-9])\s*:?(.*)", row, re.I):
+            found |= set(licenses.evaluate(m[1])[0])
+    return ",".join(sorted(found))
+
+
+def test_licences_of_whole_documents_are_brute_force(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    got = licenses.scan_licenses(table).toPandas().set_index("doc_id")
+    texts = table.toPandas().set_index("doc_id").text
+    for d, text in texts.items():
+        assert got.labels[d] == brute_labels(text)
+        doubt = 1.0
+        tagged = re.search("spdx", text or "", re.I)
+        for x in filter(None, got.labels[d].split(",")):
+            doubt *= 1 - (licenses.RESERVED_WEIGHT if x == "all-rights-reserved" else licenses.PHRASE_WEIGHT)
+        assert tagged or abs(got.score[d] - (1 - doubt)) < 1e-9
 
 
 def words_of(rng, n):
@@ -102,7 +132,7 @@ def test_decode_against_all_paths():
     """Viterbi finds the best of all readings of a short token."""
     from itertools import product
 
-    counts = np.zeros(toxicity.GRAM_BUCKETS, np.float32)
+    counts = np.zeros(1 << 18, np.float32)
     rng = np.random.default_rng(0)
     counts[:] = rng.integers(0, 5, len(counts))
     model = toxicity.CharModel(counts, float(counts.sum()))
@@ -120,13 +150,83 @@ def test_decode_against_all_paths():
         assert toxicity.decode(token, model) == "".join(x for x, _ in best)
 
 
+def model_of(words, n=100):
+    hashes, counts, characters = toxicity.gram_counts(words, np.full(len(words), n))
+    table = np.zeros(1 << 18, np.float32)
+    np.add.at(table, hashes >> 14, counts)
+    return toxicity.CharModel(table, characters)
+
+
+def words_in(text, model):
+    low = text.lower()
+    of = toxicity.Restored(model)
+    return {w for t in toxicity.tokens_of(low) for w in of.restore(t)} | set(toxicity.lonely(low, model))
+
+
 def test_signs_inside_and_at_the_ends_of_tokens_are_decoded():
     """Dots inside tokens, tokens without letters and lookalikes at the ends reach the lattice; punctuation is still dropped."""
-    words = ["stupid", "idiot", "trash", "ass", "hello", "garden"]
-    model = toxicity.CharModel(*toxicity.gram_buckets(words, np.full(len(words), 100)))
-    cache = toxicity.Restored(model)
+    model = model_of(["stupid", "idiot", "trash", "ass", "hello", "garden"])
     for text, word in [("stu.pid", "stupid"), ("an id.iot, he", "idiot"), ("tr,ash.", "trash"), ("!diot", "idiot"), ("@$$", "ass"), ("455", "ass"), ("(hello!)", "hello"), ("garden!, hello.", "garden")]:
-        assert word in toxicity.restored_words(text, cache), text
+        assert word in words_in(text, model), text
+
+
+def test_words_anywhere_in_long_tokens_and_chains():
+    """No cut tears a word: hidden ones are found at every place of a token of 300 characters and of a chain of 300 letters."""
+    model = model_of(["stupid", "garden", "hello", "street"])
+    for n in range(0, 48, 5):
+        token = "_".join(["garden"] * n + ["s7up1d"] + ["hello"] * (48 - n))
+        assert "stupid" in words_in(token, model), n
+        chain = " ".join(" ".join(w) for w in ["garden"] * n + ["stupid"] + ["street"] * (48 - n))
+        assert "stupid" in " ".join(toxicity.lonely(chain, model)).replace(" ", ""), n
+    assert words_in("stuuuuuuuuuuuuuuuuuuuuuuuuuupid", model) == {"stupid"}
+
+
+def test_long_decoding_is_the_full_one():
+    """Settling 64 characters back gives the path that an unbounded memory gives."""
+    rng = np.random.default_rng(2)
+    words = ["stupid", "garden", "hello", "street", "tool", "seat"]
+    model = model_of(words)
+    for _ in range(5):
+        text = "".join(rng.choice(list("st0ol3a7_-1pid"), 400))
+        assert toxicity.decode(text, model) == toxicity.decode(text, model, lag=10**6)
+
+
+def test_score_is_the_plain_computation(toxic_corpus):
+    """Counts, lexicon, regression and score once more without Spark."""
+    table, labels = toxic_corpus
+    rows = table.toPandas().merge(labels.toPandas(), on="doc_id")
+    rows["fold"] = rows.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 3)
+    seen = {}
+    for t in rows.text:
+        for w in toxicity.tokens_of(t.lower()):
+            if w.isalpha():
+                seen[w] = seen.get(w, 0) + 1
+    hashes, n, characters = toxicity.gram_counts(list(seen), np.array(list(seen.values())))
+    bits = min(22, max(18, (4 * (len(hashes) + 1)).bit_length()))
+    grams = np.zeros(1 << bits, np.float32)
+    np.add.at(grams, hashes >> (32 - bits), n)
+    model = toxicity.CharModel(grams, characters)
+    counts = {}
+    total = np.zeros(4, int)
+    for x in rows[rows.fold != 1].itertuples():
+        kind = x.fold + x.toxic
+        total[kind] += 1
+        for b in {b for w in words_in(x.text, model) for b in toxicity.word_features(w)}:
+            counts.setdefault(b, np.zeros(4, int))[kind] += 1
+    bucket = np.array([*counts, toxicity.WORD_BUCKETS])
+    by = np.array([*counts.values(), total])
+
+    def tokens(clean, toxic):
+        return toxicity.TokenScores(toxicity.Restored(model), dict(zip(*(v.tolist() for v in toxicity.lexicon(bucket, clean, toxic)))))
+
+    first, both = tokens(by[:, 0], by[:, 1]), tokens(by[:, 0] + by[:, 2], by[:, 1] + by[:, 3])
+    second = rows[rows.fold == 2]
+    x, y = np.array([toxicity.summary(t, first) for t in second.text]), second.toxic.to_numpy().astype(float)
+    all_, one = toxicity.logistic(x, y), toxicity.logistic(x[:, toxicity.ONE_WORD], y)
+    z = np.array([toxicity.summary(t, both) for t in rows.text])
+    logit = np.maximum(z @ all_, z[:, toxicity.ONE_WORD] @ one - toxicity.MARGIN)
+    got = toxicity.score(table, labels).toPandas().set_index("doc_id").score.loc[rows.doc_id]
+    assert np.allclose(got, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), atol=1e-6)
 
 
 def test_toxicity_hard_rows(docs, hard, clash, spark):
@@ -138,6 +238,20 @@ def test_toxicity_hard_rows(docs, hard, clash, spark):
     assert toxicity.score(docs([]), none).count() == 0
 
 
+def test_several_labels_of_a_document(toxic_corpus, spark):
+    """One that says toxic decides, in any order of rows; a bound on labelled rows is kept by ids."""
+    table, labels = toxic_corpus
+    a = toxicity.score(table, labels.unionByName(labels.selectExpr("doc_id", "0 as toxic"))).toPandas().set_index("doc_id").score
+    b = toxicity.score(table, labels.selectExpr("doc_id", "0 as toxic").unionByName(labels)).toPandas().set_index("doc_id").score
+    c = toxicity.score(table, labels).toPandas().set_index("doc_id").score
+    assert np.allclose(a.sort_index(), c.sort_index()) and np.allclose(b.sort_index(), c.sort_index())
+    from rasterloom.llm.text import bounded
+
+    ids = spark.range(10_000).withColumnRenamed("id", "doc_id")
+    n = [bounded(ids.repartition(k), 1000).orderBy("doc_id").toPandas().doc_id.tolist() for k in (2, 5)]
+    assert n[0] == n[1] and 850 < len(n[0]) < 1150 and bounded(ids, 10_000).count() == 10_000
+
+
 def test_ordinal_fit_recovers_order():
     rng = np.random.default_rng(0)
     n = 600
@@ -196,3 +310,26 @@ def test_ordinal_hard_rows(docs, hard, clash, spark):
     assert ordinal.score(docs([]), empty).count() == 0
     flat = ordinal.score(docs(hard), empty).toPandas()
     assert np.allclose(flat.score, 0) and np.allclose(flat.expected_grade, 1)
+
+
+def test_ordinal_query_is_features_times_weights(spark, small):
+    """The query's scores beside the sparse features of every text and the fitted weights."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    graded = ordinal.rated(spark.read.parquet(f"{small}/labels.parquet").where("crc32(cast(doc_id as string)) % 3 <> 1"))
+    model = ordinal.train(docs, graded)
+    got = queries.op10_ordinal(spark, small).toPandas().set_index("doc_id")
+    texts = docs.toPandas().set_index("doc_id").text
+    for d, text in list(texts.items())[:150]:
+        ids, values = ordinal.features(text)
+        score = float(np.dot(model.weights[ids], values))
+        above = 1 / (1 + np.exp(model.thresholds - score))
+        assert abs(got.score[d] - score) < 1e-3 and abs(got.expected_grade[d] - above.sum()) < 1e-3 and abs(got.tail_prob[d] - above[0]) < 1e-3
+
+
+def test_several_grades_of_a_document(spark, docs):
+    """The lowest counts, in any order of rows."""
+    table = docs([(i, f"good words number {i}" if i % 2 else "junk junk junk") for i in range(60)])
+    rows = [(i, 2 if i % 2 else 0) for i in range(60)]
+    more = rows + [(i, 2) for i in range(60)]
+    fits = [ordinal.train(table, spark.createDataFrame(r, "doc_id long, grade int")) for r in (rows, more, more[::-1])]
+    assert all(np.allclose(f.weights, fits[0].weights, atol=1e-6) for f in fits)
