@@ -20,7 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators.components import connected_components
@@ -83,8 +83,31 @@ def common_shingles(texts: DataFrame, words: int) -> Common:
     return known[order], got["count"].to_numpy()[order]
 
 
-def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the prefixes allow, from (t, n, shared), the prefix shingles that a text shares with others.
+
+    The set whose prefix ends first in the order has all its common shingles of the prefix in the other's prefix too, so
+    both have at most the prefixes' common ones and its rest, ceil(t * n) - 1, in common.
+    """
+
+    def rest(n: str) -> Column:
+        return F.ceil(F.col(n) * percent / 100) - 1
+
+    both = pairs.join(shared.toDF("a", "na", "sa"), "a").join(shared.toDF("b", "nb", "sb"), "b")
+    most = F.size(F.array_intersect("sa", "sb")) + F.greatest(rest("na"), rest("nb"))
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return both.where(alike & (most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
+def checked(pairs: DataFrame, shared: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Whole sets are made of the texts of possible pairs only."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            rows = [i for i, t in enumerate(batch.column(0).to_pylist()) if not (t in seen or seen.add(t))]  # copies once a task
+            new = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([new.column(0), pa.array([shingles(x.as_py(), words).astype("<u8").tobytes() for x in new.column(1)], pa.binary())], names=["t", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,34 +118,31 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    sizes = sets.select("t", "n")
-    near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    full = sets.select("t", "h")
-    return near.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    near = Written(possible(pairs, shared, percent), "similar-near")
+    wanted = broadcast_if_small(near.df.select(F.explode(F.array("a", "b")).alias("t")).distinct(), 1_000_000)
+    sets = Written(texts.join(wanted, "t", "left_semi").mapInArrow(whole, "t long, h binary").dropDuplicates(["t"]), "similar-sets")
+    narrow = broadcast_if_small(near.df, 1_000_000)
+    x, y = (sets.df.toDF(c, f"h{c}").join(narrow, c) for c in "ab")
+    out = Written(x.join(y, ["a", "b"]).select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"), "similar-checked")
+    near.drop()
+    sets.drop()
+    return out.df
 
 
 def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(node, component) over text hashes that are linked to others.
 
-    texts: (t, text); prefixes: (t, prefix), the prefix shingles of every text; proposed: pairs (a, b) that may be similar.
+    texts: (t, text); prefixes: (t, n, prefix), the set's size and the prefix shingles of every text; proposed: pairs (a, b)
+    that may be similar.
     """
-    each = prefixes.select("t", F.explode("prefix").alias("s"))
+    each = prefixes.select("t", "n", F.explode("prefix").alias("s"))
     # shingles of several texts, by a combining aggregation, so that a very common one isn't gathered in one task
     several = Written(each.groupBy("s").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("s"), "similar-several")
     members = Written(each.join(broadcast_if_small(several.df, 1_000_000), "s", "left_semi").distinct(), "similar-members")
-    rows = members.df
-    drop = [several, members]
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(x.as_py(), words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())], names=["t", "n", "h"])
-
-    met = Written(rows.select("t").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("t"))).distinct(), "similar-wanted")
-    wanted = broadcast_if_small(met.df, 1_000_000)
-    sets = Written(texts.join(wanted, "t", "left_semi").mapInArrow(whole, "t long, n int, h binary").dropDuplicates(["t"]), "similar-sets")
-    linked = Written(checked(proposed, sets.df, percent), "similar-links")
+    shared = Written(members.df.groupBy("t", "n").agg(F.collect_list("s").alias("shared")), "similar-shared")  # one text's prefix at most
+    rows = members.df.select("s", "t")
+    drop = [several, members, shared]
+    linked = Written(checked(proposed, shared.df, texts, words, percent), "similar-links")
     found = Written(connected_components(linked.df), "similar-found")
     turn = 0
     while True:
@@ -144,10 +164,10 @@ def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int
         pairs = pairs.unionByName(met.select(F.least("t", "p.pivot").alias("a"), F.greatest("t", "p.pivot").alias("b"))).distinct()
         following = Written(against.where(~F.exists("ps", lambda p: p["pivot"] == F.col("t"))).select("s", "t"), "similar-members")
         rows = following.df
-        linked = Written(linked.df.unionByName(checked(pairs, sets.df, percent)), "similar-links")
+        linked = Written(linked.df.unionByName(checked(pairs, shared.df, texts, words, percent)), "similar-links")
         found = Written(connected_components(linked.df), "similar-found")
         drop += [open_, pivots, following]
         turn += 1
-    for table in drop + [sets]:
+    for table in drop:
         table.drop()
     return found.df
