@@ -7,10 +7,12 @@ than five are one shingle, and texts without words have an empty set and are ali
 adds what bits don't show by a prefix filter, which loses nothing: with any one order of all shingles, two sets of
 similarity >= t share a shingle among the first n - ceil(t * n) + 1 of each. The order puts shingles last that are common
 in a sample of the texts, which bounds the work and doesn't change the result. Texts that share such a shingle form a
-group. A group's texts are compared with one of them, which then leaves; groups that lie in one component are done, so a
-large group of near copies takes about one comparison a text. What is left is compared pair by pair in groups of at most
-SMALL texts, and with PIVOTS texts a round, which then leave, in larger ones: k texts that aren't alike but share a prefix
-shingle take k / PIVOTS rounds, and no large group is ever expanded into all its pairs.
+group. A group's texts are compared with the one that has the fewest shingles of its own, which then leaves; groups that
+lie in one component are done, so a large group of near copies takes about one comparison a text. A text with `own`
+shingles that no other has can't be similar to sets larger than (1 + t) / t * (n - own) - n, which spares most of the
+comparisons that would fail. What is left are the texts outside a group's largest component: up to SMALL of them are
+compared with the group's others at once, and PIVOTS of them a round, which then leave, where there are more. No large
+group is ever expanded into all its pairs; k texts that aren't alike but share a prefix shingle take k / PIVOTS rounds.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from rasterloom.plans.scale import Written, broadcast_if_small
 
 #: One text in so many is counted to find common shingles, and those seen so often there are put last.
 SAMPLE, OFTEN, MOST_COMMON = 16, 4, 200_000
-#: In the first round every group's texts are compared with one of them. Later, groups of so few texts are compared pair by pair,
-SMALL = 128
-#: and larger ones with so many texts of theirs a round.
-PIVOTS = 32
+#: In the first two rounds a group's texts are compared with one of them. From the second on, groups with so few texts outside their
+#: largest component are finished by comparing those with the others; from the third on, so many of them a round in larger ones.
+SMALL, PIVOTS = 128, 32
 
 
 def hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -93,7 +94,8 @@ def possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     def rest(n: str) -> Column:
         return F.ceil(F.col(n) * percent / 100) - 1
 
-    both = pairs.join(shared.toDF("a", "na", "sa"), "a").join(shared.toDF("b", "nb", "sb"), "b")
+    of = shared.select("t", "n", "shared")
+    both = pairs.join(of.toDF("a", "na", "sa"), "a").join(of.toDF("b", "nb", "sb"), "b")
     most = F.size(F.array_intersect("sa", "sb")) + F.greatest(rest("na"), rest("nb"))
     alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     return both.where(alike & (most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
@@ -139,30 +141,41 @@ def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int
     # shingles of several texts, by a combining aggregation, so that a very common one isn't gathered in one task
     several = Written(each.groupBy("s").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("s"), "similar-several")
     members = Written(each.join(broadcast_if_small(several.df, 1_000_000), "s", "left_semi").distinct(), "similar-members")
-    shared = Written(members.df.groupBy("t", "n").agg(F.collect_list("s").alias("shared")), "similar-shared")  # one text's prefix at most
-    rows = members.df.select("s", "t")
+    gathered = members.df.groupBy("t", "n").agg(F.collect_list("s").alias("shared"))  # one text's prefix at most
+    # own: prefix shingles that no other text has; reach: the largest set that can be similar, (1 + t) / t * (n - own) - n
+    own = F.when(F.col("n") == 0, 1).otherwise(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) - F.size("shared")
+    reach = F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent) - F.col("n")
+    shared = Written(gathered.withColumn("own", own).withColumn("reach", reach), "similar-shared")
+    rows = shared.df.select(F.explode("shared").alias("s"), "t", "n", "own", "reach")
     drop = [several, members, shared]
     linked = Written(checked(proposed, shared.df, texts, words, percent), "similar-links")
     found = Written(connected_components(linked.df), "similar-found")
     turn = 0
     while True:
         tagged = rows.join(found.df.withColumnRenamed("node", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
-        groups = tagged.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
-        todo = Written(groups.select("s", (F.col("n") <= (SMALL if turn else 2)).alias("small")), "similar-todo")
-        drop.append(todo)
+        # texts too far from all others of the group, by size, leave; so do groups inside one component
+        limits = tagged.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("reach").alias("most")).where("x <> y")
+        alive = Written(tagged.join(limits.drop("x", "y"), "s").where("reach >= least and n <= most").drop("least", "most"), "similar-alive")
+        # texts outside a group's largest component: all that is left to compare is each of them with the others
+        parts = alive.df.groupBy("s", "component").agg(F.count("*").alias("k"))
+        groups = parts.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("outside")).where("outside > 0")
+        todo = Written(groups.select("s", "main", (F.col("outside") <= (SMALL if turn else 0)).alias("small")), "similar-todo")
+        drop += [alive, todo]
         if todo.df.isEmpty():
             break
-        open_ = Written(tagged.join(todo.df, "s"), "similar-open")
-        x, y = (open_.df.where("small").select("s", F.col("t").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        pairs = x.join(y, "s").where("a < b and ca <> cb").select("a", "b")
+        open_ = Written(alive.df.join(todo.df, "s").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "similar-open")
+        x, y = (open_.df.where(f"small{more}").select("s", F.col("t").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("reach").alias(f"r{c}")) for c, more in (("a", " and outside"), ("b", "")))
+        pairs = x.join(y, "s").where("ca <> cb and na <= rb and nb <= ra").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         large = open_.df.where("not small")
-        first = [F.min(F.struct(F.xxhash64("t", F.lit(100 * turn + k)).alias("o"), F.col("t").alias("pivot"), F.col("component").alias("cp"))) for k in range(PIVOTS if turn else 1)]
-        pivots = large.groupBy("s").agg(F.array_distinct(F.array(*[F.struct(p.getField("pivot").alias("pivot"), p.getField("cp").alias("cp")) for p in first])).alias("ps"))
-        pivots = Written(pivots, "similar-pivots")
+        member = F.struct("t", "component", "n", "reach").alias("p")
+        # the first is the one with the smallest share of shingles of its own, to which most near copies are close
+        orders = [F.struct((F.col("own") / F.greatest(F.col("n"), F.lit(1))).alias("o"), member)] if turn < 2 else [F.struct((~F.col("outside")).alias("m"), F.xxhash64("t", F.lit(100 * turn + k)).alias("o"), member) for k in range(PIVOTS)]
+        pivots = Written(large.groupBy("s").agg(F.array_distinct(F.array(*[F.min(o).getField("p") for o in orders])).alias("ps")), "similar-pivots")
         against = large.join(pivots.df, "s")
-        met = against.select("t", "component", F.explode("ps").alias("p")).where("component <> p.cp")
-        pairs = pairs.unionByName(met.select(F.least("t", "p.pivot").alias("a"), F.greatest("t", "p.pivot").alias("b"))).distinct()
-        following = Written(against.where(~F.exists("ps", lambda p: p["pivot"] == F.col("t"))).select("s", "t"), "similar-members")
+        apart = F.filter("ps", lambda p: (p["component"] != F.col("component")) & (p["n"] <= F.col("reach")) & (F.col("n") <= p["reach"]))
+        met = against.select("t", F.explode(F.transform(apart, lambda p: p["t"])).alias("p")).select(F.least("t", "p").alias("a"), F.greatest("t", "p").alias("b"))
+        pairs = pairs.unionByName(met).distinct()
+        following = Written(against.where(~F.exists("ps", lambda p: p["t"] == F.col("t"))).select(*rows.columns), "similar-members")
         rows = following.df
         linked = Written(linked.df.unionByName(checked(pairs, shared.df, texts, words, percent)), "similar-links")
         found = Written(connected_components(linked.df), "similar-found")
