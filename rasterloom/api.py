@@ -1,16 +1,15 @@
 """Segmentation of whole rasters by path or table, with files as results where wanted.
 
 A raster argument is a Raster, a pixel table (r, c, bands), or a path (GeoTIFF by its ending, else a Parquet pixel table).
-Segmenters return label tables (r, c, segment_id). output_file ends in .tif (a folder of GeoTIFF blocks is written beside
-its name without the ending's dot) or is a Parquet path. block_nrows and overwrite are accepted where a reader or writer has
+Segmenters return label tables (r, c, segment_id). output_file ends in .tif or is a Parquet path. A GeoTIFF of up to 2^26
+pixels is the file that is named; a larger raster is a folder of blocks, named like it without the ending. block_nrows and overwrite are accepted where a reader or writer has
 no use for them. All functions take the running session, or get one.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +17,14 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import labels, regions, segment, tiles
 from rasterloom.operators.segment import Segmenter
-from rasterloom.plans.scale import written
+from rasterloom.plans.scale import broadcast_if_small, shared_dir, written
 from rasterloom.sources import geotiff, tables
 
 
+#: Pixels of a raster that is written as one GeoTIFF file.
+SINGLE_FILE = 1 << 26
+
+
 @dataclass
 class Raster:
     """A pixel table with the raster's size."""
@@ -63,8 +66,9 @@ def save(seg: DataFrame, x: Raster, output_file: str | None) -> DataFrame:
         return seg
     seg = written(seg, "labels")  # the kernels run once
     if output_file.lower().endswith((".tif", ".tiff")):
-        encoded = geotiff.encode_labels(seg, x.nrow, x.ncol, origin=x.origin, resolution=x.resolution, crs=x.crs)
-        geotiff.write_geotiff(encoded, str(output_file.rpartition(".")[0]))
+        single = x.nrow * x.ncol <= SINGLE_FILE
+        encoded = geotiff.encode_labels(seg, x.nrow, x.ncol, x.nrow if single else 512, origin=x.origin, resolution=x.resolution, crs=x.crs)
+        geotiff.write_geotiff(encoded, output_file if single else output_file.rpartition(".")[0])
     else:
         tables.write_raster(seg, output_file)
     return seg
@@ -128,13 +132,14 @@ def seeds_segmenter(x, step: int = 10, nbins: int = 20, block_sizes=(8, 4, 2, 1)
 
 
 def make_tiles_disk(x, tile_size: int = 2048, buffer: int = 64, prefix: str = "tile", dir: str | None = None, overwrite: bool = True, verbose: bool = True) -> DataFrame:
-    """Tiles as Parquet folders dir/prefix/tile_id=N, buffered pixels and all; returns the tiles with the column file. Empty tiles are left out."""
+    """Tiles as Parquet folders dir/prefix/tile_id=N, buffered pixels and all; returns the tiles with the column file. Empty tiles are
+    left out. Without dir they are put into the shared folder. Tiles that are there already are an error without overwrite."""
     x = rast(x)
-    folder = f"{(dir or tempfile.mkdtemp(prefix='tiles-')).rstrip('/')}/{prefix}"
+    folder = f"{(dir or f'{shared_dir(session())}/tiles-{uuid.uuid4().hex}').rstrip('/')}/{prefix}"
     dealt = tiles.assign_pixels(x.px, x.nrow, x.ncol, tile_size, buffer)
-    tables.write_tiles(dealt, folder)
+    tables.write_tiles(dealt, folder, overwrite=overwrite)
     there = session().read.parquet(folder).select(F.col("tile_id").cast("long")).distinct()
-    meta = tiles.make_tiles(session(), x.nrow, x.ncol, tile_size, buffer).join(F.broadcast(there), "tile_id", "left_semi")
+    meta = tiles.make_tiles(session(), x.nrow, x.ncol, tile_size, buffer).join(broadcast_if_small(there), "tile_id", "left_semi")
     meta = meta.withColumn("file", F.concat(F.lit(f"{folder}/tile_id="), F.col("tile_id").cast("string")))
     if verbose:
         print(f"{meta.count()} tiles in {folder}")
@@ -143,15 +148,20 @@ def make_tiles_disk(x, tile_size: int = 2048, buffer: int = 64, prefix: str = "t
 
 def segment_tiles(tile_meta: DataFrame, segment_fun: Segmenter, seg_args: dict | None = None, out_dir: str | None = None, out_prefix: str = "seg", overwrite: bool = True, cleanup_tiles: bool = False, force_positive: bool = True, verbose: bool = True) -> DataFrame:
     """Segments the tiles of make_tiles_disk in parallel and numbers labels over all tiles: (tile_id, r, c, inner, segment_id), also as
-    Parquet below out_dir/out_prefix if a folder is named."""
+    Parquet below out_dir/out_prefix if a folder is named. Failed tiles are named in a warning; if all fail, it raises.
+    cleanup_tiles deletes the tiles of make_tiles_disk in the end."""
     limits = tile_meta.agg(F.max("r1_in").alias("nrow"), F.max("c1_in").alias("ncol"), F.max(F.expr("r1_in - r0_in")).alias("size"), F.max("buffer").alias("buffer"), F.min("file").alias("file")).first()
     size = max(limits["size"], tile_meta.agg(F.max(F.expr("c1_in - c0_in"))).first()[0])
     px = session().read.parquet(limits["file"].rpartition("/")[0])
     out = segment.segment_tiles(px.where("inner").select("r", "c", "bands"), limits["nrow"], limits["ncol"], segment_fun, seg_args, size, limits["buffer"])
-    out = tiles.make_global(written(out.drop("error"), "tiles"))
+    cut = written(out, "tiles")
+    segment.report_failures(cut)
+    out = tiles.make_global(cut.drop("error"))
     if out_dir:
-        tables.write_tiles(out, f"{out_dir}/{out_prefix}")
+        tables.write_tiles(out, f"{out_dir}/{out_prefix}", overwrite=overwrite)
         out = session().read.parquet(f"{out_dir}/{out_prefix}").withColumn("tile_id", F.col("tile_id").cast("long"))
+    if cleanup_tiles:
+        tables.delete(session(), limits["file"].rpartition("/")[0])
     if verbose:
         print(f"{out.select('segment_id').distinct().count()} labels")
     return out
@@ -189,31 +199,41 @@ def _label_raster(seg: DataFrame) -> Raster:
     return Raster(seg, (top["r"] or 0) + 1, (top["c"] or 0) + 1)
 
 
-def segmenter_tile_engine(x, segment_fun: Segmenter, seg_args: dict | None = None, tile_size: int = 2048, buffer: int = 64, seam_thr: float = 0.8, out_file: str | None = None, scale_bands: bool = False, smooth: int = 0, verbose: bool = True, **options) -> DataFrame:
-    """options as in operators.segment.tile_engine: seam_scope, mosaic_rule, seam_space, stats_scope."""
+def segmenter_tile_engine(
+    x, segment_fun: Segmenter, seg_args: dict | None = None, tile_size: int = 2048, buffer: int = 64, seam_thr: float = 0.8, out_file: str | None = None, tile_dir: str | None = None, cleanup_tiles: bool = False,
+    cleanup_seg_tiles: bool = False, scale_bands: bool = False, smooth: int = 0, verbose: bool = True, **options,
+) -> DataFrame:
+    """options as in operators.segment.tile_engine: seam_scope, mosaic_rule, seam_space, stats_scope. The tiles' labels are kept in
+    tile_dir if one is named and cleanup_seg_tiles is off. Pixels are dealt to tiles without files, so cleanup_tiles has none to delete."""
     x = rast(x)
-    return finish(segment.tile_engine(x.px, x.nrow, x.ncol, segment_fun, seg_args, tile_size, buffer, seam_thr, scale_bands, smooth, **options), x, out_file, verbose)
+    return finish(segment.tile_engine(x.px, x.nrow, x.ncol, segment_fun, seg_args, tile_size, buffer, seam_thr, scale_bands, smooth, tile_dir=tile_dir, cleanup_seg_tiles=cleanup_seg_tiles, **options), x, out_file, verbose)
 
 
-def fh_segmenter_tile(x, tile_size: int = 2048, buffer: int = 64, seam_thr: float = 0.7, out_file: str | None = None, k: float = 1.0, min_size: int = 50, eight: bool = True, scale_bands: bool = True, smooth: int = 0, verbose: bool = True, **options) -> DataFrame:
+def fh_segmenter_tile(
+    x, tile_size: int = 2048, buffer: int = 64, seam_thr: float = 0.7, out_file: str | None = None, tile_dir: str | None = None, cleanup_tiles: bool = False, cleanup_seg_tiles: bool = False, k: float = 1.0,
+    min_size: int = 50, eight: bool = True, scale_bands: bool = True, smooth: int = 0, verbose: bool = True, **options,
+) -> DataFrame:
+    """Folders and options as in segmenter_tile_engine."""
     x = rast(x)
-    return finish(segment.fh_segmenter_tile(x.px, x.nrow, x.ncol, tile_size, buffer, seam_thr, k, min_size, eight, scale_bands, smooth, **options), x, out_file, verbose)
+    return finish(segment.fh_segmenter_tile(x.px, x.nrow, x.ncol, tile_size, buffer, seam_thr, k, min_size, eight, scale_bands, smooth, tile_dir=tile_dir, cleanup_seg_tiles=cleanup_seg_tiles, **options), x, out_file, verbose)
 
 
-def fh_meanshift_segmenter_tile(x, tile_size: int = 1536, buffer: int = 96, seam_thr: float = 0.8, out_file: str | None = None, scale_bands: bool = True, smooth: int = 3, verbose: bool = True, **args) -> DataFrame:
-    """args as in fh_meanshift_segmenter, ms_dim 3 if not given, and options of the tile engine."""
+def fh_meanshift_segmenter_tile(
+    x, tile_size: int = 1536, buffer: int = 96, seam_thr: float = 0.8, out_file: str | None = None, tile_dir: str | None = None, cleanup_tiles: bool = False, cleanup_seg_tiles: bool = False,
+    scale_bands: bool = True, smooth: int = 3, verbose: bool = True, **args,
+) -> DataFrame:
+    """args as in fh_meanshift_segmenter, ms_dim 3 if not given, and folders and options as in segmenter_tile_engine."""
     x = rast(x)
-    return finish(segment.hybrid_segmenter_tile(x.px, x.nrow, x.ncol, tile_size, buffer, seam_thr, scale_bands, smooth, **args), x, out_file, verbose)
+    return finish(segment.hybrid_segmenter_tile(x.px, x.nrow, x.ncol, tile_size, buffer, seam_thr, scale_bands, smooth, tile_dir=tile_dir, cleanup_seg_tiles=cleanup_seg_tiles, **args), x, out_file, verbose)
 
 
 def sample_raster_path(folder: str | None = None, size: int = 250) -> str:
-    """The path of a small three-band GeoTIFF of fields and noise, made by rule where it isn't there yet."""
-    path = Path(folder or tempfile.gettempdir()) / f"sample_{size}.tif"
-    if not path.exists():
-        rng = np.random.default_rng(42)
-        r, c = np.divmod(np.arange(size * size), size)
-        field = ((r + 7 * np.sin(c / 9)) // 25).astype(int) * 100 + (c + 5 * np.cos(r / 11)) // 30
-        tone = rng.integers(30, 226, (3, int(field.max()) + 1))
-        image = tone[:, field.astype(int)].reshape(3, size, size) + rng.normal(0, 6, (3, size, size))
-        path.write_bytes(geotiff.encode(np.clip(image, 0, 255).astype(np.uint8), (500_000.0, 6_600_000.0), (10.0, 10.0), crs="UTM 35N"))
-    return str(path)
+    """The path of a small three-band GeoTIFF of fields and noise, made by rule; in the shared folder if none is named."""
+    rng = np.random.default_rng(42)
+    r, c = np.divmod(np.arange(size * size), size)
+    field = ((r + 7 * np.sin(c / 9)) // 25).astype(int) * 100 + (c + 5 * np.cos(r / 11)) // 30
+    tone = rng.integers(30, 226, (3, int(field.max()) + 1))
+    image = tone[:, field.astype(int)].reshape(3, size, size) + rng.normal(0, 6, (3, size, size))
+    path = f"{(folder or shared_dir(session())).rstrip('/')}/sample_{size}.tif"
+    geotiff.write_bytes(session(), path, geotiff.encode(np.clip(image, 0, 255).astype(np.uint8), (500_000.0, 6_600_000.0), (10.0, 10.0), crs="UTM 35N"))
+    return path

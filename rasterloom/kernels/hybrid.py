@@ -87,6 +87,8 @@ def join_modes(y: np.ndarray, merge: float) -> np.ndarray:
 
 def hybrid_segment(block: np.ndarray, fh_k: float = 0.5, fh_min_size: int = 20, eight: bool = True, ms_dim: int = 0, ms_ranger: float = 0.15, ms_hs: float = 12.0, ms_max_iter: int = 10, ms_eps: float = 1e-3, mode_merge: float = 0.6, final_min_size: int = 80) -> np.ndarray:
     """Labels 1..K, 0 where a band is missing."""
+    if not (ms_ranger > 0 and ms_hs > 0):
+        raise ValueError("ms_ranger and ms_hs must be above 0")
     nb, h, w = block.shape
     ok = valid_pixels(block)
     if not ok.any():

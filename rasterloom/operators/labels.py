@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.bands import squared_distance
 from rasterloom.operators.components import connected_components
-from rasterloom.plans.scale import broadcast_if_small, with_row
+from rasterloom.plans.scale import broadcast_if_small, written
 
 
 def apply_merge_map(seg: DataFrame, mapping: DataFrame) -> DataFrame:
     """seg with new_id where mapping (old_id, new_id) has its label; one step, other labels unchanged."""
-    m = mapping.select(F.col("old_id").alias("__o"), F.col("new_id").alias("__n"))
+    m = written(mapping.select(F.col("old_id").alias("__o"), F.col("new_id").alias("__n")), "merge-map")  # counted, then joined
     return seg.join(broadcast_if_small(m), F.col("segment_id") == F.col("__o"), "left").withColumn("segment_id", F.coalesce("__n", "segment_id")).drop("__o", "__n")
 
 
@@ -20,12 +20,16 @@ def invalid_to_null(seg: DataFrame) -> DataFrame:
     return seg.withColumn("segment_id", F.nullif("segment_id", F.lit(0).cast("long")))
 
 
-def ranked(ids: DataFrame, order: str, buckets: int = 256) -> DataFrame:
+def ranked(ids: DataFrame, order: str, per_range: int = 1 << 18) -> DataFrame:
     """ids with `rank`, 1 to their number by `order` (unique longs), without sorting all in one task: values are cut into ranges of
-    equal width, ranked inside a range and shifted by the ranges before it."""
-    limits = ids.agg(F.min(order).cast("double").alias("__lo"), F.max(order).cast("double").alias("__hi"))
-    width = F.greatest(F.lit(1.0), (F.col("__hi") - F.col("__lo") + 1) / buckets)
-    t = with_row(ids, limits).withColumn("__b", F.floor((F.col(order) - F.col("__lo")) / width)).drop("__lo", "__hi")
+    about per_range rows at their quantiles, wherever they lie, ranked inside a range and shifted by the ranges before it."""
+    ids = written(ids, "rank-ids")
+    ranges = min(4096, -(-ids.count() // per_range))
+    if ranges > 1:
+        bounds = sorted(set(ids.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))  # at most 4,095
+        t = ids.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(order))))
+    else:
+        t = ids.withColumn("__b", F.lit(0))
     sizes = t.groupBy("__b").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__b", F.coalesce(before, F.lit(0)).alias("__before"))  # one row per range

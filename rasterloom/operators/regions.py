@@ -31,8 +31,12 @@ def max_label(seg: DataFrame) -> DataFrame:
 
 def segment_means(px: DataFrame, seg: DataFrame, n: int, ids: DataFrame | None = None) -> DataFrame:
     """(segment_id, mean): band means; a band with a missing value in any pixel of a segment is null. ids: (segment_id) wanted; those without pixels are null."""
+    return means_of(labelled(px, seg), n, ids)
+
+
+def means_of(t: DataFrame, n: int, ids: DataFrame | None = None) -> DataFrame:
+    """segment_means of pixels that have their labels, (segment_id, bands)."""
     mean = [F.when(F.count(F.get("bands", F.lit(i))) == F.count("*"), F.avg(F.get("bands", F.lit(i)))) for i in range(n)]
-    t = labelled(px, seg)
     if ids is not None:
         t = t.join(ids, "segment_id", "left_semi")
     means = t.groupBy("segment_id").agg(F.array(*mean).alias("mean"))

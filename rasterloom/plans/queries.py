@@ -121,14 +121,15 @@ def grid_init_labels(spark, d):
     return prepare.grid_init_labels(px(spark, d), 10, NCOL).drop("bands")
 
 
-@query("""with t as (select r, c, (r + 0.5) * 2 - 0.5 as y, (c + 0.5) * 2 - 0.5 as x from (select distinct r // 2 as r, c // 2 as c from px_orders where r < 14 and c < 40) q),
+@query("""with size as (select (max(r) + 1) // 2 as h from px_orders),
+t as (select r, c, (r + 0.5) * 2 - 0.5 as y, (c + 0.5) * 2 - 0.5 as x from (select distinct r // 2 as r, c // 2 as c from px_orders) q, size where r < h),
 k as (select t.r, t.c, cast(floor(y) as int) + i as sr, cast(floor(x) as int) + j as sc,
   (case when i = 1 then y - floor(y) else 1 - (y - floor(y)) end) * (case when j = 1 then x - floor(x) else 1 - (x - floor(x)) end) as w
   from t, (values (0, 0), (0, 1), (1, 0), (1, 1)) v(i, j))
-select k.r, k.c, round(sum(w * b1) / sum(w), 6) as b1, round(sum(w * b2) / sum(w), 6) as b2 from k join px_orders p on p.r = k.sr and p.c = k.sc where w > 0 and p.r < 14 and p.c < 40 group by k.r, k.c""", "px_orders")
+select k.r, k.c, round(sum(w * b1) / sum(w), 6) as b1, round(sum(w * b2) / sum(w), 6) as b2 from k join px_orders p on p.r = k.sr and p.c = k.sc where w > 0 group by k.r, k.c""", "px_orders")
 def align_resample(spark, d):
-    p = prepare.scan_window(px(spark, d, "px_orders"), 0, 14, 0, 40)
-    return prepare.to_columns(prepare.align_resample(p, 7, 20, 2.0, 2.0, 2), 2, places=6)
+    p = px(spark, d, "px_orders")
+    return prepare.to_columns(prepare.align_resample(p, fx.n_rows(p) // 2, NCOL // 2, 2.0, 2.0, 2), 2, places=6)
 
 
 @query("select r, c, b1, b2 from px_orders", "px_orders")
@@ -460,10 +461,10 @@ def component_sql(close: str, ids: str) -> str:
 found as (select i.id as old_id, least(i.id, coalesce(min(r.y), i.id)) as new_id from ids i left join reach r on r.x = i.id group by i.id)"""
 
 
-@query(f"with e as ({edge_sql(STEPS8)}), {component_sql('select a, b from e where w <= 60 and a < 3000 and b < 3000', 'select a as id from e where w <= 60 and a < 3000 and b < 3000 union select b from e where w <= 60 and a < 3000 and b < 3000')} select old_id as node, new_id as component from found", "px_events_na")
+@query()  # recursive SQL takes too long on the whole raster; tested against union-find
 def connected_components_edges(spark, d):
     e = adjacency.edge_weights(px(spark, d, "px_events_na"), NCOL, True)
-    return connected_components(e.where("cast(w as double) <= 60 and a < 3000 and b < 3000"))
+    return connected_components(e.where("cast(w as double) <= 60"))
 
 
 @query(f"""with tch as (select distinct a, b from ({touch_sql(STEPS8)}) t), m as (select segment_id, avg(b1) as m1, avg(b2) as m2, avg(b3) as m3 from ({JOINED}) j group by segment_id),
@@ -474,11 +475,10 @@ def merge_by_adjacency(spark, d):
     return labels.merge_by_adjacency(adjacency.region_adjacency(seg, True), regions.segment_means(px(spark, d), seg, 3), 12.0)
 
 
-# the step of mean-shift clustering: components over close neighbours, every valid pixel of a window
-@query(f"""with w as (select * from px_events_na where r < 30), e as ({edge_sql(STEPS8, "w")}), {component_sql("select a, b from e where w <= 60", "select cast(r * 100 + c as bigint) as id from w where b1 is not null")}
-select cast(old_id // 100 as int) as r, cast(old_id % 100 as int) as c, new_id as segment_id from found""", "px_events_na")
+# the step of mean-shift clustering: components over close neighbours, every valid pixel
+@query()  # as above
 def ms_cluster(spark, d):
-    p = prepare.scan_window(px(spark, d, "px_events_na"), 0, 30, 0, NCOL)
+    p = px(spark, d, "px_events_na")
     found = connected_components(adjacency.edge_weights(p, NCOL, True).where("cast(w as double) <= 60"))
     cells = p.where("forall(bands, x -> x is not null)").select("r", "c", (F.col("r").cast("long") * NCOL + F.col("c")).alias("cell"))
     return cells.join(found, F.col("cell") == F.col("node"), "left").select("r", "c", F.coalesce("component", "cell").alias("segment_id"))
@@ -615,6 +615,58 @@ for _name, _run in KERNELS.items():
     add_kernel(_name, _run)
 
 
+# flat blocks without noise have one right answer, numbered by first pixel, which SQL builds
+
+FLAT = {
+    "fh_flat_blocks": lambda p, h: segment.fh_segmenter(p, h, NCOL, k=10.0, min_size=5, scale_bands=False),
+    "hybrid_flat_blocks": lambda p, h: segment.hybrid_segmenter(p, h, NCOL, scale_bands=False, smooth=0, fh_k=10.0, ms_ranger=1.0, ms_hs=4.0, final_min_size=20),
+    "meanshift_flat_blocks": lambda p, h: segment.meanshift_segmenter(p, h, NCOL, spatialr=2, ranger=1.0, scale_bands=False, min_size=5),
+    "baatz_flat_blocks": lambda p, h: segment.baatz_segmenter(p, h, NCOL, scale_param=20, color_weight=0.9),
+    "baatz_fast_flat_blocks": lambda p, h: segment.baatz_fast_segmenter(p, h, NCOL, scale_param=20, color_weight=0.9),
+    "tile_engine_flat_blocks": lambda p, h: segment.fh_segmenter_tile(p, h, NCOL, tile_size=36, buffer=4, seam_thr=1.0, k=10.0, min_size=1, scale_bands=False),
+    "tile_engine_hybrid_flat_blocks": lambda p, h: segment.hybrid_segmenter_tile(p, h, NCOL, tile_size=36, buffer=4, seam_thr=1.0, scale_bands=False, smooth=0, fh_k=10.0, fh_min_size=1, ms_ranger=1.0, ms_hs=2.0, mode_merge=0.3, final_min_size=1),
+}
+FLAT_SQL = """with f as (select segment_id, min(r * 100 + c) as cell from seg_blocks group by segment_id), k as (select segment_id, row_number() over (order by cell) as n from f)
+select r, c, n as segment_id from seg_blocks s join k on k.segment_id = s.segment_id"""
+
+
+def flat_pixels(spark, d) -> DataFrame:
+    """Blocks of 10 x 10 pixels, each flat, and far from its eight neighbours in every band."""
+    t = fx.labels(spark, d, "seg_blocks")
+    i, j = F.floor(F.col("r") / 10), F.floor(F.col("c") / 10)
+    bands = F.array((100 * (i % 3) + 300 * (j % 3)).cast("double"), (100 * (j % 3) + 300 * (i % 3)).cast("double"), (150 * ((i + 2 * j) % 5)).cast("double"))
+    return t.select("r", "c", bands.alias("bands"))
+
+
+def add_flat(name: str, run) -> None:
+    def labels_of(spark, d):
+        p = flat_pixels(spark, d)
+        found = run(p, fx.n_rows(p))
+        return labels.relabel_first_seen(found, NCOL) if name.startswith("tile_engine") else found
+
+    labels_of.__name__ = name
+    query(FLAT_SQL, "seg_blocks")(labels_of)
+
+
+for _name, _run in FLAT.items():
+    add_flat(_name, _run)
+
+
+def upper_rows_only(block):
+    """A user's segmenter that gives up on tiles of fewer rows."""
+    import numpy as np
+
+    if block.shape[1] < TILE + BUFFER:
+        raise RuntimeError("too few rows")
+    return np.ones(block.shape[1:], int)
+
+
+@query(GRID + f" select tile_id, 'RuntimeError: too few rows' as error from tile where r1_buf - r0_buf < {TILE + BUFFER}", "px_events")
+def failed_tiles(spark, d):
+    p = px(spark, d)
+    return segment.failed_tiles(segment.segment_tiles(p, fx.n_rows(p), NCOL, upper_rows_only, None, TILE, BUFFER))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Scaled bands, tiles, graph-based segments merged over seams, then band means per segment."""
     p = px(spark, d)

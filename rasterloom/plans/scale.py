@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is named, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is named, a temporary one in local mode, as in
+    tests; on a cluster that is an error, as each machine would write to its own disk."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not named:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-"))
         named = context.getCheckpointDir()
@@ -41,9 +44,9 @@ class Written:
     Once it is written, the shuffle files of its making are deleted, as nothing reads them again.
     """
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, folder: str | None = None):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{(folder or shared_dir(self.spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
             df.write.parquet(self.path)
         self.schema = df.schema

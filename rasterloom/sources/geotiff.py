@@ -265,20 +265,24 @@ def encode_labels(seg: DataFrame, nrow: int, ncol: int, block_rows: int = 512, *
     return encode_bands(seg.select("r", "c", F.array(F.col("segment_id").cast("double")).alias("bands")), nrow, ncol, block_rows, "int32", -(2**31), **options)
 
 
-def write_geotiff(blocks_table: DataFrame, folder: str, prefix: str = "block") -> None:
-    """Writes each row of encode_* as folder/prefix_00000.tif through Spark's file systems: a temporary name first, then renamed."""
-    spark = blocks_table.sparkSession
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file on any of Spark's file systems: a temporary name first, then renamed."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(folder)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target)
+    final = hadoop.Path(path)
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(final.getParent())
+    part = hadoop.Path(final.getParent(), f".{final.getName()}.part")
+    out = fs.create(part, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+    fs.delete(final, True)
+    fs.rename(part, final)
+
+
+def write_geotiff(blocks_table: DataFrame, folder: str, prefix: str = "block") -> None:
+    """Writes each row of encode_* as folder/prefix_00000.tif through Spark's file systems; a folder that ends in .tif is the file
+    of a single block."""
     for row in blocks_table.toLocalIterator():  # one block in the driver at a time
-        name = f"{prefix}_{row['block']:05d}.tif"
-        out = fs.create(hadoop.Path(target, f".{name}.part"), True)
-        try:
-            out.write(bytes(row["content"]))
-        finally:
-            out.close()
-        final = hadoop.Path(target, name)
-        fs.delete(final, False)
-        fs.rename(hadoop.Path(target, f".{name}.part"), final)
+        write_bytes(blocks_table.sparkSession, folder if folder.lower().endswith((".tif", ".tiff")) else f"{folder}/{prefix}_{row['block']:05d}.tif", bytes(row["content"]))

@@ -12,9 +12,14 @@ def write_raster(table: DataFrame, path: str, block: int = 512, codec: str = "zs
     placed.repartition("__i", "__j").sortWithinPartitions("__i", "__j", "r", "c").drop("__i", "__j").write.mode("overwrite").option("compression", codec).parquet(path)
 
 
-def write_tiles(tiled: DataFrame, path: str, codec: str = "zstd") -> None:
-    """One folder per tile_id."""
-    tiled.repartition("tile_id").write.mode("overwrite").partitionBy("tile_id").option("compression", codec).parquet(path)
+def write_tiles(tiled: DataFrame, path: str, codec: str = "zstd", overwrite: bool = True) -> None:
+    """One folder per tile_id; tiles that are there already are replaced, or are an error without overwrite."""
+    tiled.repartition("tile_id").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("tile_id").option("compression", codec).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_raster(spark: SparkSession, path: str) -> DataFrame:
