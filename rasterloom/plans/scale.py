@@ -24,18 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: While a table is written, its shuffle files go at the end, and batches for Python workers stay small whatever the length of texts.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
 @contextmanager
-def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """The session setting has the value inside the block."""
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings have these values inside the block."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 class Written:
@@ -47,7 +57,7 @@ class Written:
     def __init__(self, df: DataFrame, name: str, folder: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{(folder or shared_dir(self.spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        with settings(self.spark, WRITING):
             df.write.parquet(self.path)
         self.schema = df.schema
 
