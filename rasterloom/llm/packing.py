@@ -34,7 +34,7 @@ from rasterloom.plans.scale import Written
 LENGTH = 2048
 END_ID = 0
 #: Ids that a task holds before it hands them on.
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 #: How a byte-level vocabulary writes bytes that aren't printable, from the public byte-to-character rule.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 

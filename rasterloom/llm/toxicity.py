@@ -43,8 +43,8 @@ from rasterloom.plans.scale import Written
 GRAM_BITS = (18, 22)
 WORD_BUCKETS = 1 << 20
 ORDER = 4
-#: Entries of a cache, and characters behind the current one after which Viterbi settles.
-CACHE, LAG = 1 << 18, 64
+#: Entries of a cache, of the one that holds a number per token only, and characters behind the current one after which Viterbi settles.
+CACHE, SCORES, LAG = 1 << 18, 1 << 19, 64
 FLUSH = 400_000
 TOP = (1, 2, 3, 5, 10)
 KNEES = (2.0, 4.0, 6.0)
@@ -325,7 +325,7 @@ class TokenScores(dict):
         return best
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= CACHE:
+        if len(self) >= SCORES:
             self.clear()
         got = self[token] = max(map(self.of_word, self.words.restore(token)), default=0.0)
         return got
