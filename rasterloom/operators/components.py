@@ -52,4 +52,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for m in maps:
         m.drop()
     least = named.df.groupBy("p").agg(F.min("v").alias("component"))
-    return named.df.join(least, "p").select(F.col("v").alias("node"), "component")
+    found = Written(named.df.join(least, "p").select(F.col("v").alias("node"), "component"), "components")
+    named.drop()
+    return found.df
