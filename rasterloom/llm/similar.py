@@ -101,7 +101,7 @@ def possible(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     return both.where(alike & (most * (100 + percent) >= percent * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
-def checked(pairs: DataFrame, shared: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def checked(pairs: DataFrame, shared: DataFrame, texts: DataFrame, words: int, percent: int) -> Written:
     """The pairs (a, b) whose sets are similar enough. Whole sets are made of the texts of possible pairs only."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def checked(pairs: DataFrame, shared: DataFrame, texts: DataFrame, words: int, p
     out = Written(x.join(y, ["a", "b"]).select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"), "similar-checked")
     near.drop()
     sets.drop()
-    return out.df
+    return out
 
 
 def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -146,10 +146,12 @@ def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int
     own = F.when(F.col("n") == 0, 1).otherwise(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) - F.size("shared")
     reach = F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent) - F.col("n")
     shared = Written(gathered.withColumn("own", own).withColumn("reach", reach), "similar-shared")
+    several.drop()
+    members.drop()
     rows = shared.df.select(F.explode("shared").alias("s"), "t", "n", "own", "reach")
-    drop = [several, members, shared]
-    linked = Written(checked(proposed, shared.df, texts, words, percent), "similar-links")
+    linked = checked(proposed, shared.df, texts, words, percent)
     found = Written(connected_components(linked.df), "similar-found")
+    following: Written | None = None
     turn = 0
     while True:
         tagged = rows.join(found.df.withColumnRenamed("node", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
@@ -160,7 +162,6 @@ def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int
         parts = alive.df.groupBy("s", "component").agg(F.count("*").alias("k"))
         groups = parts.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("outside")).where("outside > 0")
         todo = Written(groups.select("s", "main", (F.col("outside") <= (SMALL if turn else 0)).alias("small")), "similar-todo")
-        drop += [alive, todo]
         if todo.df.isEmpty():
             break
         open_ = Written(alive.df.join(todo.df, "s").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "similar-open")
@@ -175,12 +176,17 @@ def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int
         apart = F.filter("ps", lambda p: (p["component"] != F.col("component")) & (p["n"] <= F.col("reach")) & (F.col("n") <= p["reach"]))
         met = against.select("t", F.explode(F.transform(apart, lambda p: p["t"])).alias("p")).select(F.least("t", "p").alias("a"), F.greatest("t", "p").alias("b"))
         pairs = pairs.unionByName(met).distinct()
-        following = Written(against.where(~F.exists("ps", lambda p: p["t"] == F.col("t"))).select(*rows.columns), "similar-members")
-        rows = following.df
-        linked = Written(linked.df.unionByName(checked(pairs, shared.df, texts, words, percent)), "similar-links")
-        found = Written(connected_components(linked.df), "similar-found")
-        drop += [open_, pivots, following]
+        left = Written(against.where(~F.exists("ps", lambda p: p["t"] == F.col("t"))).select(*rows.columns), "similar-members")
+        more = checked(pairs, shared.df, texts, words, percent)
+        gone = [alive, todo, open_, pivots, more, *([following] if following else [])]  # nothing of a round stays longer than it
+        following, rows = left, left.df
+        if not more.df.isEmpty():
+            gone += [linked, found]
+            linked = Written(linked.df.unionByName(more.df), "similar-links")
+            found = Written(connected_components(linked.df), "similar-found")
+        for table in gone:
+            table.drop()
         turn += 1
-    for table in drop:
+    for table in (alive, todo, linked, shared, *([following] if following else [])):
         table.drop()
     return found.df
