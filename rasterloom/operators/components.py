@@ -3,16 +3,41 @@
 Each round, every node points at the neighbour (or itself) that comes first in a fixed random order, and the edges are
 rewritten to the nodes pointed at. A random order makes the graph shrink by a constant share each round whatever the ids
 look like, so long chains of consecutive ids take O(log n) rounds. Each round is aggregations and equi-joins only: a node
-with very many edges is combined before the shuffle, and its join rows are split by AQE.
+with very many edges is combined before the shuffle, and its join rows are split by AQE. Once at most LAST edges are left, as
+comes sooner or later at any size, one task finishes them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.plans.scale import Written
 
+#: Edges that one task finishes.
+LAST = 10_000
+
+
+def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(v, p) for each node v of the edges (a, b): p is one node of its component, the same for all of them."""
+    parts = list(batches)
+    if not parts:
+        return
+    edges = pd.concat(parts, ignore_index=True)
+    codes, nodes = pd.factorize(pd.concat([edges["a"], edges["b"]], ignore_index=True))
+    i, j = codes[: len(edges)], codes[len(edges) :]
+    label = np.arange(len(nodes))
+    while (label[i] != label[j]).any():
+        x, y = label[i], label[j]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    yield pd.DataFrame({"v": nodes, "p": nodes[label]})
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node of its component.
@@ -22,8 +47,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     current = Written(ends.distinct(), "cc-edges")
     maps: list[Written] = []
+    kind = current.schema["a"].dataType.simpleString()
     for _ in range(max_rounds):
         e = current.df
+        left_over = e.limit(LAST + 1).count()
+        if left_over <= LAST:
+            if left_over or not maps:
+                maps.append(Written(e.coalesce(1).mapInPandas(roots, f"v {kind}, p {kind}"), "cc-map"))
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(
             e.select("a", F.col("a").alias("b"))
         ).unionByName(e.select(F.col("b").alias("a"), "b"))
@@ -39,8 +70,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         following = Written(rest, "cc-edges")
         current.drop()
         current = following
-        if current.df.isEmpty():
-            break
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     current.drop()

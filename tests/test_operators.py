@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.kernels.graph import fh_segment
 from rasterloom.kernels.meanshift import meanshift_filter
-from rasterloom.operators import adjacency, labels, prepare, regions, segment, tiles
+from rasterloom.operators import adjacency, components, labels, prepare, regions, segment, tiles
 from rasterloom.operators.components import connected_components
 
 
@@ -28,7 +28,9 @@ def blocks(h=40, w=28, seed=0, noise=0.3):
     return np.concatenate([base, base % 50]) + rng.normal(0, noise, (2, h, w))
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("last", [0, 100, 10_000])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, last):
+    monkeypatch.setattr(components, "LAST", last)  # 0: contraction alone
     rng = np.random.default_rng(0)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5000, 5000), (6000, 6001), (6001, 6000), (None, 3), (7, None)]
     edges += [(int(a) + 10_000, int(b) + 10_000) for a, b in rng.integers(0, 400, (250, 2))]
