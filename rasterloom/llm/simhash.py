@@ -283,21 +283,22 @@ def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
 
 
 def digests(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(t, fp, n, prefix) of rows (t, text), one scan: the fingerprint, the set's size, and the shingles that the prefix filter looks at."""
+    """(t, fp, n, prefix, bits) of rows (t, text), one scan: the fingerprint, the set's size, the shingles that the prefix filter looks at, and the bitmap."""
     common = texts.sparkSession.sparkContext.broadcast(similar.common_shingles(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, parts = [], [], []
+            fps, sizes, parts, bits = [], [], [], []
             for x in batch.column(1):
                 found = similar.hashes(x.as_py(), words)
                 fps.append(majority(found[i : i + PIECE] for i in range(0, len(found), PIECE)))
                 different = np.unique(found)
                 sizes.append(len(different))
                 parts.append(similar.prefix(different, common.value, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["t", "fp", "n", "prefix"])
+                bits.append(similar.bitmap(different))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["t", "fp", "n", "prefix", "bits"])
 
-    return texts.mapInArrow(run, "t long, fp long, n long, prefix array<long>")
+    return texts.mapInArrow(run, "t long, fp long, n long, prefix array<long>, bits binary")
 
 
 def similar_texts(texts: DataFrame, errors: int = 3, words: int = 5, percent: int = 80) -> DataFrame:
@@ -311,7 +312,7 @@ def similar_texts(texts: DataFrame, errors: int = 3, words: int = 5, percent: in
     same = found.df.select("fp", "t").join(first.df, "fp").where("t <> first").select(F.col("first").alias("a"), F.col("t").alias("b")).distinct()
     near = node_links(first.df.select("fp"), errors).join(first.df.toDF("a", "x"), "a").join(first.df.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     proposed = Written(same.unionByName(near), "simhash-proposed")
-    out = similar.links(texts, found.df.select("t", "n", "prefix"), proposed.df, words, percent)
+    out = similar.links(texts, found.df.select("t", "n", "prefix", "bits"), proposed.df, words, percent)
     for table in (found, first, proposed):
         table.drop()
     return out

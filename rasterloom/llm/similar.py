@@ -7,12 +7,14 @@ than five are one shingle, and texts without words have an empty set and are ali
 adds what bits don't show by a prefix filter, which loses nothing: with any one order of all shingles, two sets of
 similarity >= t share a shingle among the first n - ceil(t * n) + 1 of each. The order puts shingles last that are common
 in a sample of the texts, which bounds the work and doesn't change the result. Texts that share such a shingle form a
-group. A group's texts are compared with the one that has the fewest shingles of its own, which then leaves; groups that
-lie in one component are done, so a large group of near copies takes about one comparison a text. A text with `own`
-shingles that no other has can't be similar to sets larger than (1 + t) / t * (n - own) - n, which spares most of the
-comparisons that would fail. What is left are the texts outside a group's largest component: up to SMALL of them are
-compared with the group's others at once, and PIVOTS of them a round, which then leave, where there are more. No large
-group is ever expanded into all its pairs; k texts that aren't alike but share a prefix shingle take k / PIVOTS rounds.
+group. A group's texts are compared with the one that has the fewest shingles of its own; groups that then lie in one
+component are done, so a large group of near copies takes about one comparison a text. A text with `own` shingles that no
+other has can't be similar to sets larger than (1 + t) / t * (n - own) - n, which spares most of the comparisons that
+would fail. In groups with more than LARGE texts outside their largest component, up to TURNS times further texts are
+compared with all. What is left are the texts outside a group's largest component; they meet the group's others in blocks
+of BLOCK, in numpy, where a pair passes only if its bitmaps allow it: bit h mod 1024 of a text's bitmap is set if an odd
+number of its shingles h have that remainder, so two bitmaps differ in no more bits than the sets in shingles. Only pairs
+that pass are returned, and whole sets decide about them. No group is ever expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from rasterloom.plans.scale import Written, broadcast_if_small
 
 #: One text in so many is counted to find common shingles, and those seen so often there are put last.
 SAMPLE, OFTEN, MOST_COMMON = 16, 4, 200_000
-#: In the first two rounds a group's texts are compared with one of them. From the second on, groups with so few texts outside their
-#: largest component are finished by comparing those with the others; from the third on, so many of them a round in larger ones.
-SMALL, PIVOTS = 128, 32
+#: Texts outside a group's largest component beyond which it is compared with one more of its texts first, so many times at most.
+LARGE, TURNS = 20_000, 4
+#: Texts of a block, pairs that are compared at once, and bits of a bitmap.
+BLOCK, PAIRS, BITS = 512, 1 << 15, 1024
 
 
 def hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -51,6 +54,12 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(hashes(text, words))
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """The parities of the numbers of different shingles with each remainder."""
+    odd = np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
@@ -131,11 +140,74 @@ def checked(pairs: DataFrame, shared: DataFrame, texts: DataFrame, words: int, p
     return out
 
 
+def blocks(alive: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose sizes, reaches and bitmaps allow them, of each text outside its group's largest
+    component with all of the group, from (s, t, n, reach, component, bits, outside, n_outside, n_all); a pair may come repeatedly."""
+
+    def cut(n: str) -> Column:
+        return F.ceil(F.col(n) / BLOCK)
+
+    def part(n: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64("t", F.lit(seed)), cut(n))
+
+    plain = ["t", "n", "reach", "component", "outside", "bits"]
+    first = alive.where("outside").select("s", part("n_outside", 1).alias("i"), F.explode(F.sequence(F.lit(0), cut("n_all") - 1)).alias("j"), F.lit(0).alias("side"), *plain)
+    second = alive.select("s", F.explode(F.sequence(F.lit(0), cut("n_outside") - 1)).alias("i"), part("n_all", 2).alias("j"), F.lit(1).alias("side"), *plain)
+    dealt = first.unionByName(second).withColumn("grp", F.xxhash64("s", "i", "j")).drop("s", "i", "j")
+
+    def met(rows: pa.Table) -> pa.RecordBatch:
+        grp, side, t, n, reach, component, outside = (rows[c].to_numpy() for c in ("grp", "side", "t", "n", "reach", "component", "outside"))
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(grp), BITS // 64)
+        head = np.flatnonzero(np.concatenate([[True], np.diff(grp) != 0]))
+        tail = np.append(head[1:], len(grp))
+        turn = np.concatenate([[0], np.cumsum(side)])
+        mid = tail - (turn[tail] - turn[head])
+        # one row of side 0 with all of side 1 of its block
+        xs = np.flatnonzero(side == 0)
+        of = np.searchsorted(head, xs, side="right") - 1
+        start, size = mid[of], (tail - mid)[of]
+        ends = np.cumsum(size)
+        out = []
+        at = 0
+        while at < len(xs):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            each = size[at:to]
+            i = np.repeat(xs[at:to], each)
+            j = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[at:to], each)
+            ok = (component[i] != component[j]) & (n[i] <= reach[j]) & (n[j] <= reach[i]) & (~outside[j] | (t[i] < t[j]))
+            i, j = i[ok], j[ok]
+            both = n[i] + n[j]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            ok = (both - apart) * (100 + percent) >= 2 * percent * both
+            out.append(np.column_stack([t[i[ok]], t[j[ok]]]))
+            at = to
+        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= 20_000:  # whole blocks only; the last one may go on in the next batch
+                rows = pa.Table.from_batches(held)
+                grp = rows["grp"].to_numpy()
+                whole = int(np.searchsorted(grp, grp[-1]))
+                held, n = rows.slice(whole).to_batches(), len(grp) - whole
+                if whole:
+                    yield met(rows.slice(0, whole))
+        if n:
+            yield met(pa.Table.from_batches(held))
+
+    return dealt.repartition("grp").sortWithinPartitions("grp", "side").mapInArrow(run, "a long, b long")
+
+
 def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(node, component) over text hashes that are linked to others.
 
-    texts: (t, text); prefixes: (t, n, prefix), the set's size and the prefix shingles of every text; proposed: pairs (a, b)
-    that may be similar.
+    texts: (t, text); prefixes: (t, n, prefix, bits), the set's size, the prefix shingles and the bitmap of every text; proposed:
+    pairs (a, b) that may be similar.
     """
     each = prefixes.select("t", "n", F.explode("prefix").alias("s"))
     # shingles of several texts, by a combining aggregation, so that a very common one isn't gathered in one task
@@ -149,44 +221,47 @@ def links(texts: DataFrame, prefixes: DataFrame, proposed: DataFrame, words: int
     several.drop()
     members.drop()
     rows = shared.df.select(F.explode("shared").alias("s"), "t", "n", "own", "reach")
-    linked = checked(proposed, shared.df, texts, words, percent)
-    found = Written(connected_components(linked.df), "similar-found")
-    following: Written | None = None
+    once = shared.df.select("t").join(prefixes.select("t", "bits"), "t").groupBy("t").agg(F.min("bits").alias("bits"))  # copies have equal ones
+
+    def against(members: DataFrame, order: Column) -> DataFrame:
+        """Each text with its group's first by the order."""
+        pivots = members.groupBy("s").agg(F.min(F.struct(order.alias("o"), F.struct("t", "n", "reach").alias("p"))).getField("p").alias("p"))
+        apart = members.join(pivots, "s").where((F.col("t") != F.col("p.t")) & (F.col("p.n") <= F.col("reach")) & (F.col("n") <= F.col("p.reach")))
+        return apart.select(F.least("t", "p.t").alias("a"), F.greatest("t", "p.t").alias("b"))
+
+    # the first is the one with the smallest share of shingles of its own, to which most near copies are close
+    central = against(rows, F.col("own") / F.greatest(F.col("n"), F.lit(1)))
+    linked = checked(proposed.unionByName(central).distinct(), shared.df, texts, words, percent)
     turn = 0
     while True:
+        found = Written(connected_components(linked.df), "similar-found")
         tagged = rows.join(found.df.withColumnRenamed("node", "t"), "t", "left").withColumn("component", F.coalesce("component", "t"))
         # texts too far from all others of the group, by size, leave; so do groups inside one component
         limits = tagged.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("reach").alias("most")).where("x <> y")
-        alive = Written(tagged.join(limits.drop("x", "y"), "s").where("reach >= least and n <= most").drop("least", "most"), "similar-alive")
+        near = Written(tagged.join(limits.drop("x", "y"), "s").where("reach >= least and n <= most").select(*tagged.columns), "similar-near-by-size")
         # texts outside a group's largest component: all that is left to compare is each of them with the others
-        parts = alive.df.groupBy("s", "component").agg(F.count("*").alias("k"))
-        groups = parts.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("main"), (F.sum("k") - F.max("k")).alias("outside")).where("outside > 0")
-        todo = Written(groups.select("s", "main", (F.col("outside") <= (SMALL if turn else 0)).alias("small")), "similar-todo")
-        if todo.df.isEmpty():
-            break
-        open_ = Written(alive.df.join(todo.df, "s").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "similar-open")
-        x, y = (open_.df.where(f"small{more}").select("s", F.col("t").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("reach").alias(f"r{c}")) for c, more in (("a", " and outside"), ("b", "")))
-        pairs = x.join(y, "s").where("ca <> cb and na <= rb and nb <= ra").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        large = open_.df.where("not small")
-        member = F.struct("t", "component", "n", "reach").alias("p")
-        # the first is the one with the smallest share of shingles of its own, to which most near copies are close
-        orders = [F.struct((F.col("own") / F.greatest(F.col("n"), F.lit(1))).alias("o"), member)] if turn < 2 else [F.struct((~F.col("outside")).alias("m"), F.xxhash64("t", F.lit(100 * turn + k)).alias("o"), member) for k in range(PIVOTS)]
-        pivots = Written(large.groupBy("s").agg(F.array_distinct(F.array(*[F.min(o).getField("p") for o in orders])).alias("ps")), "similar-pivots")
-        against = large.join(pivots.df, "s")
-        apart = F.filter("ps", lambda p: (p["component"] != F.col("component")) & (p["n"] <= F.col("reach")) & (F.col("n") <= p["reach"]))
-        met = against.select("t", F.explode(F.transform(apart, lambda p: p["t"])).alias("p")).select(F.least("t", "p").alias("a"), F.greatest("t", "p").alias("b"))
-        pairs = pairs.unionByName(met).distinct()
-        left = Written(against.where(~F.exists("ps", lambda p: p["t"] == F.col("t"))).select(*rows.columns), "similar-members")
-        more = checked(pairs, shared.df, texts, words, percent)
-        gone = [alive, todo, open_, pivots, more, *([following] if following else [])]  # nothing of a round stays longer than it
-        following, rows = left, left.df
-        if not more.df.isEmpty():
-            gone += [linked, found]
-            linked = Written(linked.df.unionByName(more.df), "similar-links")
-            found = Written(connected_components(linked.df), "similar-found")
-        for table in gone:
-            table.drop()
+        parts = near.df.groupBy("s", "component").agg(F.count("*").alias("k"))
+        groups = parts.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("n_all"), F.max("k").alias("most")).where("n_all > most")
+        groups = groups.select("s", "main", (F.col("n_all") - F.col("most")).alias("n_outside"), "n_all")
+        alive = Written(near.df.join(groups, "s").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "similar-alive")
+        near.drop()
+        large = alive.df.where(F.col("n_outside") > LARGE)
+        again = turn < TURNS and not large.isEmpty()
+        if again:
+            pairs = against(large, F.struct((~F.col("outside")).alias("m"), F.xxhash64("t", F.lit(turn)).alias("h")))
+        else:
+            pairs = blocks(alive.df.join(once, "t"), percent)
+        more = checked(pairs.distinct(), shared.df, texts, words, percent)
+        alive.drop()
+        found.drop()
+        both = Written(linked.df.unionByName(more.df), "similar-links")
+        linked.drop()
+        more.drop()
+        linked = both
         turn += 1
-    for table in (alive, todo, linked, shared, *([following] if following else [])):
-        table.drop()
-    return found.df
+        if not again:
+            break
+    out = connected_components(linked.df)
+    linked.drop()
+    shared.drop()
+    return out

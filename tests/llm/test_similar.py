@@ -63,15 +63,26 @@ def test_stage_keeps_one_of_every_similar_group(docs, spark):
     assert sorted(r["doc_id"] for r in got.collect()) == brute_keep(rows)
 
 
-def test_rounds_of_pivots(docs, monkeypatch):
-    """Nothing is lost where large groups are compared with a few of their texts a round, and no shingle is put last."""
+def test_large_groups_and_blocks(docs, monkeypatch):
+    """Nothing is lost where large groups are compared with further texts first, blocks are small, and no shingle is put last."""
     rows = sorted(near_copies())[:120]
-    monkeypatch.setattr(similar, "SMALL", 3)
-    monkeypatch.setattr(similar, "PIVOTS", 8)
+    monkeypatch.setattr(similar, "LARGE", 3)
+    monkeypatch.setattr(similar, "TURNS", 2)
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    monkeypatch.setattr(similar, "PAIRS", 8)
     monkeypatch.setattr(similar, "OFTEN", 10**9)
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect()) == brute_keep(rows)
 
 
+def test_bitmaps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 400, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+        p, q = (np.frombuffer(similar.bitmap(v), np.uint64) for v in (x, y))
+        assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(x, y))
+
+
 def test_proposed_links_are_checked(spark, docs):
     """Fingerprints of fewer bits propose texts that aren't alike; the whole sets decide."""
     rows = near_copies()[:100]
