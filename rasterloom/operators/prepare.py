@@ -120,18 +120,21 @@ def grid_init_labels(px: DataFrame, step: int, ncol: int) -> DataFrame:
 
 def align_resample(px: DataFrame, nrow: int, ncol: int, row_scale: float, col_scale: float, n: int | None = None) -> DataFrame:
     """Bilinear values on a grid of nrow x ncol cells whose centres are at row_scale, col_scale times the cell: each target reads the
-    four source cells around its centre; cells that are missing are left out and the weights scaled up."""
+    four source cells around its centre; cells that are missing are left out and the weights scaled up. A source cell finds its
+    targets by arithmetic, so there is no join and no table of targets that Spark could take for small and broadcast."""
     n = n or n_bands(px)
-    spark = px.sparkSession
-    rows = spark.range(nrow).select(F.col("id").cast("int").alias("r"))
-    at = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(ncol - 1))))
-    y, x = (F.col("r") + 0.5) * row_scale - 0.5, (F.col("c") + 0.5) * col_scale - 0.5
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    near = at.select("r", "c", (y - F.floor(y)).alias("fy"), (x - F.floor(x)).alias("fx"), F.floor(y).cast("int").alias("y0"), F.floor(x).cast("int").alias("x0"), corner.alias("k"))
-    weight = F.when(F.col("k.i") == 1, F.col("fy")).otherwise(1 - F.col("fy")) * F.when(F.col("k.j") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
-    near = near.select("r", "c", (F.col("y0") + F.col("k.i")).alias("sr"), (F.col("x0") + F.col("k.j")).alias("sc"), weight.alias("w")).where("w > 0")
-    source = px.select(F.col("r").alias("sr"), F.col("c").alias("sc"), *[F.get("bands", F.lit(i)).alias(f"x{i}") for i in range(n)])
-    mean = [F.sum(F.col("w") * F.col(f"x{i}")) / F.sum(F.when(F.col(f"x{i}").isNotNull(), F.col("w"))) for i in range(n)]
-    return near.join(source, ["sr", "sc"]).groupBy("r", "c").agg(F.array(*mean).alias("bands"))
 
+    def reach(x: str, scale: float, cells: int) -> Column:
+        """The targets whose centres may lie less than a cell from x."""
+        first, last = F.greatest(F.lit(0), F.floor((F.col(x) - 0.5) / scale - 0.5)), F.least(F.lit(cells - 1), F.ceil((F.col(x) + 1.5) / scale - 0.5))
+        return F.explode(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))))
+
+    def weight(x: str, target: str, scale: float) -> Column:
+        y = (F.col(target) + 0.5) * scale - 0.5
+        return F.when(F.col(x) == F.floor(y), 1 - (y - F.floor(y))).when(F.col(x) == F.floor(y) + 1, y - F.floor(y)).otherwise(0.0)
 
+    t = px.select(F.col("r").alias("sr"), F.col("c").alias("sc"), *[F.get("bands", F.lit(i)).alias(f"x{i}") for i in range(n)])
+    t = t.withColumn("r", reach("sr", row_scale, nrow)).withColumn("wr", weight("sr", "r", row_scale)).where("wr > 0")
+    t = t.withColumn("c", reach("sc", col_scale, ncol)).withColumn("w", F.col("wr") * weight("sc", "c", col_scale)).where("w > 0")
+    mean = [F.sum(F.col("w") * F.col(f"x{i}")) / F.sum(F.when(F.col(f"x{i}").isNotNull(), F.col("w"))) for i in range(n)]
+    return t.groupBy("r", "c").agg(F.array(*mean).alias("bands"))

@@ -211,3 +211,32 @@ def test_plans(spark, small):
     assert "Subquery" in plan and "Join" not in plan and "Cartesian" not in plan, plan
     scan = fx.raster(spark, small, "px_orders").select("r")._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in scan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("nrow, ncol, row_scale, col_scale", [(6, 4, 2.0, 2.0), (5, 7, 2.7, 1.3), (30, 17, 0.45, 0.5), (3, 2, 1.0, 5.5), (13, 9, 1.0, 1.0), (20, 20, 2.0, 2.0), (0, 4, 2.0, 2.0)])
+def test_resampled_grids(spark, nrow, ncol, row_scale, col_scale):
+    x = np.random.default_rng(3).normal(0, 1, (2, 13, 9))
+    x[0, 2:7, 3:6], x[1, 12, 8] = np.nan, np.nan
+    there = np.ones((13, 9), bool)
+    there[8:11, 4] = there[0, 0] = False
+    px = pixels(spark, x).where("not (r between 8 and 10 and c = 4) and not (r = 0 and c = 0)")
+    want = {}
+    for r in range(nrow):
+        for c in range(ncol):
+            y, z = (r + 0.5) * row_scale - 0.5, (c + 0.5) * col_scale - 0.5
+            near = [(sr, sc, (1 - abs(y - sr)) * (1 - abs(z - sc))) for sr in range(13) for sc in range(9) if abs(y - sr) < 1 and abs(z - sc) < 1 and there[sr, sc]]
+            if near:
+                known = [[(w, x[k, a, b]) for a, b, w in near if not np.isnan(x[k, a, b])] for k in range(2)]
+                want[r, c] = [sum(w * v for w, v in k) / sum(w for w, _ in k) if k else None for k in known]
+    got = {(t["r"], t["c"]): t["bands"] for t in prepare.align_resample(px, nrow, ncol, row_scale, col_scale).collect()}
+    assert got.keys() == want.keys()
+    for k, bands in want.items():
+        assert [b is None for b in got[k]] == [b is None for b in bands]
+        assert [b for b in got[k] if b is not None] == pytest.approx([b for b in bands if b is not None])
+
+
+def test_resampling_broadcasts_no_grid(spark):
+    """Targets made by explode look small to the optimizer (9 million rows for 45,000 x 50 cells); the driver held them all."""
+    px = spark.range(100).selectExpr("cast(id as int) r", "0 c", "array(cast(id as double)) bands")
+    plan = prepare.align_resample(px, 45_000, 50, 2.0, 2.0, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
