@@ -5,7 +5,8 @@ labels (row, column), 0 or below for none. The six kernels of rasterloom.kernels
 
 Exact under tiling: smoothing, scaling, masks, mean-shift filtering (buffer of at least its radius), statistics, merging,
 relabelling. Depend on the tiles: the graph-based and region-merging kernels, superpixels and all minimum sizes. One tile
-for the whole raster (tile_size=None) is the mode without tiles; it runs in one task and its memory bounds the raster.
+for the whole raster (tile_size=None) is the mode without tiles; it runs in one task and its memory bounds the raster, but for
+best-pair-first merging, which gets the same labels from windows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import inspect
 import warnings
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from rasterloom.kernels.graph import fh_segment
 from rasterloom.kernels.hybrid import hybrid_segment
 from rasterloom.kernels.meanshift import meanshift_segment
 from rasterloom.kernels.seeds import seeds_segment
-from rasterloom.operators import labels, prepare, regions, tiles
+from rasterloom.operators import labels, prepare, regions, tiles, windows
 from rasterloom.plans.scale import Written, broadcast_if_small
 
 Segmenter = Callable[..., np.ndarray]
@@ -144,7 +146,12 @@ def baatz_segmenter(px: DataFrame, nrow: int, ncol: int, smooth: int = 0, **args
 
 
 def baatz_fast_segmenter(px: DataFrame, nrow: int, ncol: int, smooth: int = 0, **args) -> DataFrame:
-    return in_memory(px, nrow, ncol, baatz_fast_segment, args, False, smooth)
+    """A raster too large for a window is segmented in windows, with the same labels."""
+    if nrow * ncol <= windows.MOST * windows.CELLS:
+        return in_memory(px, nrow, ncol, baatz_fast_segment, args, False, smooth)
+    n = prepare.n_bands(px)
+    check_call(baatz_fast_segment, args, n)
+    return windows.best_first(prepared(px, False, smooth), nrow, ncol, n, partial(baatz_fast_segment, **args))
 
 
 def seeds_segmenter(px: DataFrame, nrow: int, ncol: int, smooth: int = 0, **args) -> DataFrame:
