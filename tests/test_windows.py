@@ -81,3 +81,20 @@ def test_means_are_exact(spark):
     for n in (1, 7):
         assert windows.exact_means(px.repartition(n), 2, len(values)) == [fsum(v for v in values[:-2]) / (len(values) - 2), 0.0]
     assert windows.exact_means(px.limit(10), 1, 10) is None and windows.exact_means(px.limit(10), 1, 11) is not None
+
+
+def test_flat_blocks_in_many_windows(spark, small, monkeypatch):
+    """Equal factors everywhere, in the query whose right labels SQL builds; windows cut through the blocks."""
+    import duckdb
+
+    from rasterloom.plans.queries import ORACLE_SQL, QUERIES
+
+    small_windows(monkeypatch, 64, 3)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{small}/events.parquet'")
+    want = con.execute(ORACLE_SQL["baatz_fast_flat_blocks"]).df()
+    largest = []
+    monkeypatch.setattr(segment, "in_memory", lambda *a: largest.append(a))  # one task for all is not used
+    got = QUERIES["baatz_fast_flat_blocks"](spark, small).toPandas()
+    assert not largest and len(got) == len(want) > 0
+    assert sorted(zip(got.r, got.c, got.segment_id)) == sorted(zip(want.r, want.c, want.segment_id))
