@@ -8,7 +8,8 @@ beside each other in some window.
 
 Each window of the grid is segmented with a halo around it and owns the segments whose first pixel it holds. What it has of
 others' segments (where they reach into it or touch its own) must be, pixel by pixel, what their owners have. Windows that
-disagree are segmented again with twice the halo, and if that grows too large, as one; in the end one window would be the whole raster.
+disagree are segmented again with twice the halo, and if that grows too large, as one. Where the effect of a merge reaches far, as in smooth
+fields with noise, that ends with one window for the whole raster.
 """
 
 from __future__ import annotations
